@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.batches import codes
+
 #: Units of one bitmap shard; a run's bounds then fit 17 bits.
 SHARD = 1 << 16
 #: Buffered runs after which a task unites what it holds.
@@ -41,7 +43,7 @@ class _Runs:
     """Accumulates runs of many (entity, shard) keys, uniting them as they come."""
 
     def __init__(self, keys: list[str]):
-        self.keys, self.index, self.held = keys, None, None
+        self.keys = keys
         self.tables: list[pa.Table] = []
         self.rows = 0
 
@@ -55,27 +57,16 @@ class _Runs:
         if not self.tables:
             return None
         t = pa.concat_tables(self.tables)
-        coded, seen = _codes(t.select(self.keys))
+        coded, seen = codes(t.select(self.keys))
         k, lo, hi = _unite(coded, t["lo"].to_numpy(), t["hi"].to_numpy())
         out = seen.take(pa.array(k)).append_column("lo", pa.chunked_array([pa.array(lo)])).append_column("hi", pa.chunked_array([pa.array(hi)]))
         self.tables, self.rows = [out], 0
         return out
 
 
-def _codes(keys: pa.Table) -> tuple[np.ndarray, pa.Table]:
-    """A number 0..n-1 for each row's key, and the distinct keys in that order."""
-    at = np.zeros(keys.num_rows, np.int64)
-    for name in keys.column_names:
-        c = keys[name].combine_chunks()
-        d = (c if isinstance(c, pa.DictionaryArray) else c.dictionary_encode("encode")).indices.to_numpy(zero_copy_only=False)
-        _, at = np.unique(at * (int(d.max(initial=0)) + 1) + d, return_inverse=True)
-    _, first, at = np.unique(at, return_index=True, return_inverse=True)
-    return at.astype(np.int64), keys.take(pa.array(first))
-
-
 def _packed(runs: pa.Table, keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One row per key with its runs as two int arrays."""
-    coded, seen = _codes(runs.select(keys))
+    coded, seen = codes(runs.select(keys))
     order = np.lexsort((runs["lo"].to_numpy(), coded))
     offsets = pa.array(np.r_[0, np.cumsum(np.bincount(coded, minlength=seen.num_rows))].astype(np.int32))
     pack = lambda c: pa.ListArray.from_arrays(offsets, pa.array(runs[c].to_numpy()[order].astype(np.int32)))
