@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,21 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a local session gets a folder of its own."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The application's folder below the shared one the cluster names in spark.checkpoint.dir;
+    only a local session without that setting gets a folder of its own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(named)
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(named)
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later steps neither
-    repeat its work nor depend on the executors that computed it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as a table in the shared checkpoint folder and read again: later steps
+    neither repeat its work nor depend on the executors that computed it, and scan only the
+    columns they need."""
+    at = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
