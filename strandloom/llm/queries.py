@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.cells import with_cell
-from strandloom.llm import distinct, frequent, packing, percentiles
+from strandloom.llm import distinct, frequent, packing, percentiles, survivors
 from strandloom.plans.intervals_and_load import CELLS_SQL
 from strandloom.storage import cut, table
 
@@ -17,6 +17,41 @@ FIELDS = ["fragment_length", "mapq"]
 FREQUENT_SHARE = 0.004
 
 
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "paired_end_mapping_with_barcode")
+    return survivors.survivors(survivors.duplicate_members(records, table(spark, sf_dir, "whitelist")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the best record of every duplicate group."""
+    return _survivors(spark, sf_dir).select("first_record_id", "best_record_id")
+
+
+def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of every duplicate group with fused field values."""
+    return _survivors(spark, sf_dir)
+
+
+P1_FOUND_SQL = f"""WITH RECURSIVE {CELLS_SQL.format(source="paired_end_mapping_with_barcode")},
+celled_all AS (
+  SELECT p.*, c.cell, c.seen IN (SELECT barcode FROM whitelist) AS listed FROM paired_end_mapping_with_barcode p LEFT JOIN celled c ON p.record_id = c.record_id),
+near_pairs AS (
+  SELECT a.record_id AS a, b.record_id AS b FROM celled_all a JOIN celled_all b
+    ON a.library_id = b.library_id AND a.rid = b.rid AND a.cell = b.cell AND a.record_id <> b.record_id
+   AND abs(a.fragment_start_position - b.fragment_start_position) <= {survivors.REACH}
+   AND abs(a.fragment_start_position + a.fragment_length - b.fragment_start_position - b.fragment_length) <= {survivors.REACH}
+  UNION
+  SELECT a.record_id, b.record_id FROM celled_all a JOIN celled_all b ON a.read_id = b.read_id AND a.record_id <> b.record_id),
+reach AS (SELECT a, b FROM near_pairs UNION SELECT r.a, p.b FROM reach r JOIN near_pairs p ON r.b = p.a),
+grouped AS (SELECT a AS record_id, least(a, min(b)) AS g FROM reach GROUP BY a),
+ranked AS (
+  SELECT g.g, c.record_id, row_number() OVER (PARTITION BY g.g ORDER BY
+      (c.cell_barcode IS NULL)::INT + (c.fragment_start_position IS NULL)::INT + (c.fragment_length IS NULL)::INT + (c.mapq IS NULL)::INT + (c.num_dups IS NULL)::INT,
+      coalesce(c.listed, false) DESC, coalesce(c.mapq, -1) DESC, coalesce(c.num_dups, -1) DESC, c.mapped_at DESC, c.record_id) AS n
+  FROM grouped g JOIN celled_all c ON g.record_id = c.record_id)
+SELECT g AS first_record_id, record_id AS best_record_id FROM ranked WHERE n = 1"""
+
+
 def _day() -> F.Column:
     return F.to_date(F.date_trunc("day", "mapped_at"))
 
@@ -78,6 +113,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_fused": p1_fused,
     "p2_percentiles": p2_percentiles,
     "p2_library_percentiles": p2_library_percentiles,
     "p4_distinct": p4_distinct,
@@ -86,4 +123,4 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_pack": p7_pack,
 }
-SQL = {"p5_found": P5_FOUND_SQL, "p5_frequent": P5_FREQUENT_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_frequent": P5_FREQUENT_SQL}
