@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.cells import with_cell
-from strandloom.llm import distinct, frequent, packing, percentiles, survivors
+from strandloom.llm import distinct, frequent, leakage, packing, percentiles, survivors
 from strandloom.plans.intervals_and_load import CELLS_SQL
 from strandloom.storage import cut, table
 
@@ -112,6 +112,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).filter("piece = 1").select("doc_id")
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items they share a run of template windows with, re-parameterised ones included."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents holding a run of an item's own words."""
+    return p8_leaks(spark, sf_dir).filter(leakage.verbatim()).select("doc_id", "item_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
@@ -122,5 +132,7 @@ QUERIES = {
     "p5_frequent": p5_frequent,
     "p7_found": p7_found,
     "p7_pack": p7_pack,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
 }
 SQL = {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_frequent": P5_FREQUENT_SQL}
