@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.cells import with_cell
-from strandloom.llm import distinct, frequent, leakage, packing, percentiles, survivors
+from strandloom.llm import distinct, frequent, languages, leakage, packing, percentiles, survivors
 from strandloom.plans.intervals_and_load import CELLS_SQL
 from strandloom.storage import cut, table
 
@@ -122,6 +122,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).filter(leakage.verbatim()).select("doc_id", "item_id")
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    return documents, languages.segments(documents, languages.fit(documents))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every segment of every document."""
+    return _segments(spark, sf_dir)[1]
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language and confidence of every document."""
+    return languages.document_languages(_segments(spark, sf_dir)[1])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the languages of their paragraphs that their label does not name."""
+    return languages.mislabelled(*_segments(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
@@ -134,5 +154,8 @@ QUERIES = {
     "p7_pack": p7_pack,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
+    "p9_documents": p9_documents,
 }
 SQL = {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_frequent": P5_FREQUENT_SQL}
