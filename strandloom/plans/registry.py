@@ -1,4 +1,15 @@
-"""Queries of the mapping operators."""
+"""All queries of the mapping operators."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandloom.plans import records
+
+QUERIES = {**records.QUERIES}
+SQL = {**records.SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-cell fragments: deduplicated per cell, filtered by mapq, shifted, as file lines."""
+    return records.fragments_bed(spark, sf_dir)
