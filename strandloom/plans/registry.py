@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import records
+from strandloom.plans import records, sequences
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+QUERIES = {**records.QUERIES, **sequences.QUERIES}
+SQL = {**records.SQL, **sequences.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
