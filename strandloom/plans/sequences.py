@@ -74,16 +74,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_sql(x: str, bits: int) -> str:
-    """The integer mix in HUGEINT arithmetic, as a scalar expression of nested list lambdas."""
+    """The integer mix in BIGINT arithmetic, over a list; factors are reduced before they shift."""
     m = (1 << bits) - 1
+    left = lambda n: f"(v % {1 << max(0, bits - n)}) * {1 << n}"
     steps = [
-        (f"({m} - v + v * {1 << 21}) % {m + 1}"),
-        "xor(v, v // 16777216)",
-        f"(v + v * 8 + v * 256) % {m + 1}",
-        "xor(v, v // 16384)",
-        f"(v + v * 4 + v * 16) % {m + 1}",
-        "xor(v, v // 268435456)",
-        f"(v + v * 2147483648) % {m + 1}",
+        f"({m} - v + {left(21)}) % {m + 1}",
+        "xor(v, v >> 24)",
+        f"(v + {left(3)} + {left(8)}) % {m + 1}",
+        "xor(v, v >> 14)",
+        f"(v + {left(2)} + {left(4)}) % {m + 1}",
+        "xor(v, v >> 28)",
+        f"(v + {left(31)}) % {m + 1}",
     ]
     for step in steps:
         x = f"list_transform({x}, lambda v: {step})"
@@ -150,7 +151,7 @@ def gc_fraction(spark, sf_dir):
     return references(spark, sf_dir).filter("length(seq) > 0").select("rid", F.round(sequence.gc_fraction(F.col("seq")), 9).alias("gc"))
 
 
-@query(f"SELECT record_id, CAST({hash_sql('[(record_id * 7919 + coalesce(fragment_start_position, 0)) ::HUGEINT % 17179869184]', 34)}[1] AS BIGINT) AS h FROM {PAIRED}")
+@query(f"SELECT record_id, CAST({hash_sql('[(record_id * 7919 + coalesce(fragment_start_position, 0)) % 17179869184]', 34)}[1] AS BIGINT) AS h FROM {PAIRED}")
 def hash64(spark, sf_dir):
     """The integer mix of 17-mers."""
     key = F.col("record_id") * 7919 + F.coalesce("fragment_start_position", F.lit(0))
@@ -158,12 +159,12 @@ def hash64(spark, sf_dir):
 
 
 KMERS = f"""{SEQS},
-b0 AS (SELECT rid, i - 1 AS pos, strpos('ACGT', substr(seq, i::INT, 1)) - 1 AS f FROM (SELECT rid, seq, unnest(generate_series(1, length(seq))) AS i FROM seqs)),
+b0 AS (SELECT rid, pos, strpos('ACGT', base) - 1 AS f FROM (SELECT rid, unnest(generate_series(0, length(seq) - 1)) AS pos, unnest(string_split(seq, '')) AS base FROM seqs WHERE seq <> '')),
 b1 AS (SELECT *, 3 - f AS r FROM b0),
 b2 AS (SELECT *, f * 4 + lead(f, 1) OVER w AS f2, r + 4 * lead(r, 1) OVER w AS r2 FROM b1 WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 b4 AS (SELECT *, f2 * 16 + lead(f2, 2) OVER w AS f4, r2 + 16 * lead(r2, 2) OVER w AS r4 FROM b2 WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 b8 AS (SELECT *, f4 * 256 + lead(f4, 4) OVER w AS f8, r4 + 256 * lead(r4, 4) OVER w AS r8 FROM b4 WINDOW w AS (PARTITION BY rid ORDER BY pos)),
-b17 AS (SELECT rid, pos, (f8::HUGEINT * 65536 + lead(f8, 8) OVER w) * 4 + lead(f, 16) OVER w AS f17, r8::HUGEINT + 65536 * (lead(r8, 8) OVER w)::HUGEINT + 4294967296 * (lead(r, 16) OVER w)::HUGEINT AS r17
+b17 AS (SELECT rid, pos, (f8 * 65536 + lead(f8, 8) OVER w) * 4 + lead(f, 16) OVER w AS f17, r8 + 65536 * lead(r8, 8) OVER w + 4294967296 * lead(r, 16) OVER w AS r17
   FROM b8 WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 once AS (SELECT rid, pos, {hash_sql('[f17, r17]', 34)} AS h FROM b17 WHERE f17 IS NOT NULL),
 kmers AS (SELECT rid, pos + 16 AS pos, (h[1] >= h[2])::INT AS strand, CAST({hash_sql('[least(h[1], h[2])]', 34)}[1] AS BIGINT) AS hash FROM once)"""
@@ -221,7 +222,7 @@ def _read_sql(columns: str, of: str) -> str:
         for before, after in ((f"{name} AS (", f"r_{name} AS ("), (f"FROM {name} ", f"FROM r_{name} "), (f"FROM {name})", f"FROM r_{name})"), (f"FROM {name}\n", f"FROM r_{name}\n")):
             chain = chain.replace(before, after)
     chain = chain.replace("FROM seqs", "FROM read_seqs").replace("rid", "read_id")
-    return f"WITH {MINIMIZERS}, {READS}, read_seqs AS (SELECT read_id AS rid, seq FROM reads), {chain.replace('SELECT read_id, seq, unnest', 'SELECT rid AS read_id, seq, unnest')}, {columns} {of}"
+    return f"WITH {MINIMIZERS}, {READS}, read_seqs AS (SELECT read_id AS rid, seq FROM reads), {chain.replace('SELECT read_id, unnest', 'SELECT rid AS read_id, unnest')}, {columns} {of}"
 
 
 _INDEX = "freqs AS (SELECT hash, count(*) AS freq FROM minimizers GROUP BY hash)"
