@@ -47,12 +47,12 @@ def with_cell(df: DataFrame, whitelist: DataFrame, barcode: str = "cell_barcode"
     whitelist without repair, else false; null barcodes give null and false).
 
     A barcode that cannot be repaired stays as normalised. An empty whitelist repairs nothing.
+    Columns that have the new names already are replaced.
     The whitelist is broadcast only if its row count is within ``BROADCAST_WHITELIST_ROWS``;
     otherwise the repair table is joined by shuffle on salted keys, so that a hot barcode is
     spread over ``SALTS`` tasks.
     """
-    if {into, f"{into}_listed"} & set(df.columns):
-        raise ValueError(f"columns {into} and {into}_listed are taken")
+    df = df.drop(*({into, f"{into}_listed"} - {barcode}))
     seen, fixed, ok, salt = "__seen", "__fixed", "__ok", "__salt"
     table = neighbourhood(whitelist).select(F.col("seen").alias(seen), F.col("cell").alias(fixed), F.col("listed").alias(ok))
     rows = df.withColumn(seen, normal_barcode(F.col(barcode)))
@@ -63,7 +63,7 @@ def with_cell(df: DataFrame, whitelist: DataFrame, barcode: str = "cell_barcode"
         rows = rows.withColumn(salt, F.pmod(F.hash(*[F.col(f"`{c}`") for c in df.columns if c != barcode] or [F.lit(0)]), F.lit(SALTS)))
         joined = rows.join(table, [seen, salt], "left").drop(salt)
     return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns if c != into],
         F.coalesce(fixed, seen).alias(into),
         F.coalesce(ok, F.lit(False)).alias(f"{into}_listed"),
     )

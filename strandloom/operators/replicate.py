@@ -66,11 +66,16 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, tasks:
     ``__task`` and more columns needs no further shuffle. Rows of a key that alone fills more than one shard of a
     task's fair load are split over several tasks by a hash of the row, and the matching
     right row is copied to those tasks only; give ``left`` a column that tells rows apart. The two broadcasts are bounded: BUCKETS rows, and
-    at most tasks / SHARD_SHARE heavy keys. Clashing column names raise an error.
+    at most tasks / SHARD_SHARE heavy keys. A column of ``right`` whose name ``left`` has too gets
+    ``_right`` appended.
     """
+    taken = set(left.columns)
+    for c in [c for c in right.columns if c != key and c in taken]:
+        name = c
+        while name in taken or name in right.columns:
+            name += "_right"
+        right, taken = right.withColumnRenamed(c, name), taken | {name}
     others = [c for c in right.columns if c != key]
-    if clash := set(others) & set(left.columns):
-        raise ValueError(f"columns on both sides: {sorted(clash)}")
     spark = left.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     light, heavy = plan_loads(left, key, tasks)

@@ -74,16 +74,22 @@ def cluster(hits: np.ndarray, reach: int, required: int, n_minimizers: int) -> l
     found: list[tuple[int, int]] = []
     breaks = np.flatnonzero((np.diff(spots) > reach) | (np.diff(spots // WRAP) > 0)) + 1
     for part in np.split(np.arange(len(spots)), breaks):
-        size, best, most = 0, int(spots[part[0]]), 0
-        for i in part.tolist():
-            spot, n = int(spots[i]), int(counts[i])
-            if size >= n_minimizers and spot > best + reach and size:
+        n = counts[part]
+        if n.sum() <= n_minimizers:  # too few hits to begin anew within the island
+            if n.sum() >= required:
+                found.append((int(spots[part[n.argmax()]]), int(n.max())))
+            continue
+        size, best, most, here, same = 0, 0, 0, -1, 0
+        for spot in np.repeat(spots[part], n).tolist():
+            if size and size >= n_minimizers and spot > best + reach:
                 if size >= required:
                     found.append((best, most))
-                size, best, most = 0, spot, 0
-            size += n
-            if n > most:
-                best, most = spot, n
+                size, most, here = 0, 0, -1
+            size += 1
+            same = same + 1 if spot == here else 1
+            here = spot
+            if same > most:
+                best, most = spot, same
         if size >= required:
             found.append((best, most))
     return found
