@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BUCKETS, CENTROIDS = 4096, 3
 #: Labelled documents per language and paragraphs per document that train the centroids.
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 80, 10
+#: Least share of a language's paragraphs in a cluster; a smaller one holds strays.
+LEAST_CLUSTER = 0.02
 #: A paragraph is rejected below this share of its centroid's own least typical member's cosine.
 REJECT = 0.6
 #: Scale of cosines in the confidence.
@@ -170,7 +172,7 @@ def train(counts: np.ndarray, labels: list[str]) -> Model:
         cosine = own @ c.T
         near = cosine.argmax(axis=1)
         for k in range(len(c)):
-            if (near == k).any():
+            if (near == k).any() and (near == k).mean() >= LEAST_CLUSTER:
                 centroids.append(c[k])
                 of.append(i)
                 least.append(REJECT * cosine[near == k, k].min())

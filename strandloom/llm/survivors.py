@@ -42,13 +42,14 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
     start and end at most REACH apart, transitively; a missing value matches nothing. rank is a
     struct whose maximum is the group's best record: fewest nulls among the five fields, then a
     whitelisted barcode, highest mapq, highest num_dups (null lowest), latest mapped_at, smallest
-    record_id. Extra columns are ignored; record_id must be unique.
+    record_id. Extra columns are ignored; record_id must be unique, rows without one are left out.
+    An empty table has no groups.
 
     A library, rid and cell enter as a 64-bit hash beside start and end: two fragments of other
     cells would have to share it and the position to be confused. Only points and reads with
     company become vertices; the rest never leaves the first pass.
     """
-    rows = records.select("record_id", "read_id", "library_id", "rid", "cell_barcode", F.col("fragment_start_position").alias("start"), F.col("fragment_length").alias("length"), "mapq", "num_dups", "mapped_at", "loaded_at")
+    rows = records.select("record_id", "read_id", "library_id", "rid", "cell_barcode", F.col("fragment_start_position").alias("start"), F.col("fragment_length").alias("length"), "mapq", "num_dups", "mapped_at", "loaded_at").filter("record_id IS NOT NULL")
     rows = with_cell(rows, whitelist)
     placed = F.col("library_id").isNotNull() & F.col("rid").isNotNull() & F.col("cell").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
     key = ["h", "x", "y"]
@@ -137,14 +138,15 @@ def estimate(values: DataFrame) -> dict[int, float]:
     whole = np.array([[m >> k & 1 for k in range(SOURCES)] for m in present], float).reshape(-1, SOURCES)
     both = (whole * np.array(list(present.values()), float).reshape(-1, 1)).T @ whole
     accuracy, dependent = np.full(SOURCES, 0.8), np.zeros((SOURCES, SOURCES))
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         votes = spark.createDataFrame(list(zip(masks, _votes(masks, accuracy, dependent))), "sources long, vote double")
         scored = patterns.join(F.broadcast(votes), "sources").withColumn("e", F.exp("vote"))
         total = scored.groupBy("id").agg(F.sum(F.col("nv") * F.col("e")).alias("total"))
         right = scored.join(total, "id").groupBy("sources").agg(F.sum(F.col("objects") * F.col("nv") * F.col("e") / F.col("total")).alias("right"), F.sum(F.col("objects") * F.col("nv")).alias("all"))
         sums = {r["sources"]: (r["right"], float(r["all"])) for r in right.collect()}
         true, every = (np.array([sums[m][i] for m in masks]) for i in (0, 1))
-        accuracy = np.clip((bits.T @ true + 8) / (bits.T @ every + 10), 0.05, 0.99)
+        if turn:  # the first votes count copies; accuracies wait until copies are discounted
+            accuracy = np.clip((bits.T @ true + 8) / (bits.T @ every + 10), 0.05, 0.99)
         dependent = _dependence(accuracy, (bits * every[:, None]).T @ bits, (bits * (every - true)[:, None]).T @ bits, both)
     return dict(zip(masks, _votes(masks, accuracy, dependent)))
 
