@@ -16,7 +16,7 @@ from strandloom.operators.adapters import trim_pairs
 from strandloom.params import EffectiveRange, IndexParams, MapParams
 from strandloom.plans import pipeline
 from strandloom.plans.records import PAIRED
-from strandloom.storage import cut, table
+from strandloom.storage import cut, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,19 +41,25 @@ def query(sql: str | None = None):
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rid, seq``: every document with text."""
     seq = F.regexp_replace(F.translate("text", _FROM, _TO), "[^ACGT]", "")
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("int").alias("rid"), seq.alias("seq"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).filter("text IS NOT NULL")
+    return texts.select(F.col("doc_id").cast("int").alias("rid"), seq.alias("seq"))
 
 
 SEQS = f"seqs AS (SELECT doc_id::INT AS rid, regexp_replace(translate(text, '{_FROM}', '{_TO}'), '[^ACGT]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL)"
 
 
-def reads(spark: SparkSession, sf_dir: str, changed: bool = True) -> DataFrame:
-    """``read_id, seq, true_rid, true_pos``; every third read has one base changed."""
+BAND = 8
+
+
+def reads(spark: SparkSession, sf_dir: str, windows: bool = False) -> DataFrame:
+    """``read_id, seq, true_rid, true_pos``; every third read has one base changed. With
+    ``windows``, also the stretch a read was taken from and BAND bases on either side."""
     at = F.explode(F.sequence(F.lit(8), F.length("seq") - READ - 10, F.lit(STRIDE)))
     rows = references(spark, sf_dir).filter(F.length("seq") >= READ + 18).select("rid", "seq", at.alias("pos"))
-    rows = rows.select((F.col("rid").cast("long") * 1_000_000 + F.col("pos")).alias("read_id"), F.substring("seq", F.col("pos") + 1, F.lit(READ)).alias("seq"), F.col("rid").alias("true_rid"), F.col("pos").cast("long").alias("true_pos"))
-    if not changed:
-        return rows
+    rows = rows.select(
+        (F.col("rid").cast("long") * 1_000_000 + F.col("pos")).alias("read_id"), F.substring("seq", F.col("pos") + 1, F.lit(READ)).alias("seq"), F.col("rid").alias("true_rid"), F.col("pos").cast("long").alias("true_pos"),
+        *([F.substring("seq", F.col("pos") + 1 - BAND, F.lit(READ + 2 * BAND)).alias("window")] if windows else []),
+    )
     spot = (F.col("true_pos") % READ).cast("int")
     other = F.translate(F.substring("seq", spot + 1, F.lit(1)), "ACGT", "CGTA")
     return rows.withColumn("seq", F.when(F.col("true_pos") % 3 == 0, sequence.replace_base(F.col("seq"), spot, other)).otherwise(F.col("seq")))
@@ -207,7 +213,7 @@ def index_stats(spark, sf_dir):
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    refs = references(spark, sf_dir)
+    refs = cut(references(spark, sf_dir))
     return refs, cut(minimizers.build_index(refs, IP))
 
 
@@ -272,20 +278,13 @@ def cache_signatures(spark, sf_dir):
 @query(f"WITH {SEQS}, {READS} SELECT read_id, CASE WHEN true_pos % 3 = 0 THEN 1 ELSE 0 END AS errors, 8 AS first, 67 AS last FROM reads WHERE true_pos % 3 <> 0")
 def edit_distance(spark, sf_dir):
     """V1 to V3 and V6: unchanged reads against the windows they were taken from."""
-    refs = references(spark, sf_dir)
-    e = 8
-    rows = reads(spark, sf_dir).filter("true_pos % 3 <> 0").join(refs.select(F.col("rid").alias("true_rid"), F.col("seq").alias("ref")), "true_rid")
-    window = F.substring("ref", (F.col("true_pos") + 1 - e).cast("int"), F.lit(READ + 2 * e))
-    return align.verify(rows.select("read_id", "seq", window.alias("window")), ["read_id"], e)
+    return align.verify(reads(spark, sf_dir, windows=True).filter("true_pos % 3 <> 0"), ["read_id"], BAND)
 
 
 @query()
 def changed_reads(spark, sf_dir):
     """V1: reads with a changed base against their windows; one error, or none where a shifted copy fits."""
-    refs = references(spark, sf_dir)
-    rows = reads(spark, sf_dir).join(refs.select(F.col("rid").alias("true_rid"), F.col("seq").alias("ref")), "true_rid")
-    window = F.substring("ref", (F.col("true_pos") + 1 - 8).cast("int"), F.lit(READ + 16))
-    return align.verify(rows.select("read_id", "seq", window.alias("window")), ["read_id"], 8).groupBy("errors").agg(F.count("*").alias("n_reads"))
+    return align.verify(reads(spark, sf_dir, windows=True), ["read_id"], BAND).groupBy("errors").agg(F.count("*").alias("n_reads"))
 
 
 @query()

@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan ahead of heavy work, over all cores if its files are too few to occupy them. On a
+    large input, which has more splits than there are cores, nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The application's folder below the shared one the cluster names in spark.checkpoint.dir;
     only a local session without that setting gets a folder of its own."""

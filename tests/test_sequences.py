@@ -40,6 +40,23 @@ def test_minimizers_are_the_window_minima(seq):
         assert list(at) == want
 
 
+def test_many_sequences_at_once_equal_each_alone():
+    seqs = [dna(RNG.choice([0, 5, 17, 20, 22, 23, 60, 300])) for _ in range(80)] + [dna(30) + "N" + dna(30)]
+    of, h, at, strand = minimizers.batch_minimizers(seqs, 17, 7)
+    for i, s in enumerate(seqs):
+        for got, want in zip((h, at, strand), minimizers.sequence_minimizers(s, 17, 7)):
+            assert list(got[of == i]) == list(want)
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 11, 16, 17, 23, 28])
+def test_packed_bases(k):
+    s = dna(60)
+    forward, backward = minimizers.packed(minimizers.codes_of(s), k)
+    number = lambda t: int("".join(str("ACGT".index(x)) for x in t), 4)
+    assert forward.tolist() == [number(s[i : i + k]) for i in range(61 - k)]
+    assert backward.tolist() == [number(turned(s[i : i + k])) for i in range(61 - k)]
+
+
 def test_reverse_complement_has_the_same_minimizers():
     s = dna(500)
     a, b = (set(minimizers.sequence_minimizers(x, 17, 7)[0].tolist()) for x in (s, turned(s)))
@@ -58,7 +75,7 @@ def test_pieces_give_the_whole_index(spark, monkeypatch):
     refs = spark.createDataFrame([(0, dna(5000)), (1, dna(20)), (2, ""), (3, None)], "rid int, seq string")
     whole = minimizers.build_index(refs, IndexParams())
     want = {tuple(r) for r in whole.select("hash", "rid", "pos", "strand", "freq").collect()}
-    monkeypatch.setattr(minimizers.pieces, "__defaults__", (97,))
+    monkeypatch.setattr(minimizers, "PIECE", 97)
     assert {tuple(r) for r in minimizers.build_index(refs, IndexParams()).select("hash", "rid", "pos", "strand", "freq").collect()} == want
 
 
