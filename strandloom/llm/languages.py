@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.storage import spread
+
 #: Buckets of hashed letter trigrams; centroids per language.
 BUCKETS, CENTROIDS = 4096, 3
 #: Labelled documents per language and paragraphs per document that train the centroids.
@@ -248,7 +250,7 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, kind)
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(make, kind)
 
 
 def document_languages(found: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.storage import spread
+
 #: Words of a template window, and how many of them must not be placeholders.
 WINDOW, LEAST_PLAIN = 4, 2
 #: Words a chain of windows may skip on either side, and by how much the skips may differ.
@@ -107,7 +109,7 @@ def _windows(table: DataFrame, key: str, known: Lexicon, bits: np.ndarray | None
                 raw = [" ".join(words[t][a : a + WINDOW]) for t, a in zip(text.tolist(), at.tolist())]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(lo + text)), pa.array(at, pa.int32()), pa.array(h), pa.array(raw, pa.string())], names=[key, "at", "h", "words"])
 
-    return table.select(F.col(key).cast("long"), "text").mapInArrow(make, f"{key} long, at int, h long, words string")
+    return spread(table.select(F.col(key).cast("long"), "text")).mapInArrow(make, f"{key} long, at int, h long, words string")
 
 
 def align(at: np.ndarray, item_at: np.ndarray) -> list[int]:

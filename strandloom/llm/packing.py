@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.storage import cut
+from strandloom.storage import cut, spread
 
 CAPACITY = 4096
 #: Parts in which the documents of one length are ranked, so that a hot length is no hot task.
@@ -41,7 +41,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = [None if not t.is_valid else len(encode(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(count, "doc_id long, n_tokens long")
 
 
 def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

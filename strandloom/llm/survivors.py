@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.cells import with_cell
 from strandloom.llm.components import components, crowded_points
-from strandloom.storage import cut
+from strandloom.storage import cut, spread
 
 #: Bases by which starts and ends of one fragment may differ.
 REACH = 8
@@ -50,7 +50,7 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
     company become vertices; the rest never leaves the first pass.
     """
     rows = records.select("record_id", "read_id", "library_id", "rid", "cell_barcode", F.col("fragment_start_position").alias("start"), F.col("fragment_length").alias("length"), "mapq", "num_dups", "mapped_at", "loaded_at").filter("record_id IS NOT NULL")
-    rows = with_cell(rows, whitelist)
+    rows = with_cell(spread(rows), whitelist)
     placed = F.col("library_id").isNotNull() & F.col("rid").isNotNull() & F.col("cell").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
     key = ["h", "x", "y"]
     rows = rows.select(
