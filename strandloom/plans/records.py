@@ -167,14 +167,14 @@ def _named(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
 @query(f"{_CHAIN} SELECT concat_ws(chr(9), ref_name, fragment_start_position, fragment_start_position + fragment_length, coalesce(cell_barcode, ''), num_dups) AS line FROM named")
 def fragments_bed(spark, sf_dir):
     """Lines of a single-cell fragment file."""
-    return lines.fragment_lines(_named(spark, sf_dir, cell_fragments(spark, sf_dir)))
+    return _named(spark, sf_dir, cell_fragments(spark, sf_dir)).select(lines.fragment_line())
 
 
 @query(f"""{_CHAIN} SELECT concat_ws(chr(9), ref_name, fragment_start_position, fragment_start_position + fragment_length, 'N', mapq,
   CASE WHEN direction = 1 THEN '+' ELSE '-' END, num_dups) AS line FROM named""")
 def bed_bulk_rows(spark, sf_dir):
     """Lines of a bulk BED file."""
-    return lines.bed_lines(_named(spark, sf_dir, cell_fragments(spark, sf_dir)))
+    return _named(spark, sf_dir, cell_fragments(spark, sf_dir)).select(lines.bed_line())
 
 
 @query(f"""{_CHAIN},
@@ -184,7 +184,7 @@ mates AS (
 SELECT concat_ws(chr(9), ref_name, a, b, 'N', mapq, strand) || CASE WHEN leads THEN '' ELSE chr(9) || num_dups END AS line FROM mates""")
 def tagalign_rows(spark, sf_dir):
     """Two lines per pair, read 1 first, the copies on the second."""
-    return lines.tagalign_pair_lines(_named(spark, sf_dir, cell_fragments(spark, sf_dir)))
+    return lines.with_tagalign_pair_line(_named(spark, sf_dir, cell_fragments(spark, sf_dir))).select("line")
 
 
 _SE_NAMED = "named AS (SELECT m.*, r.ref_name FROM deduped m JOIN ref_seqs r ON m.rid = r.rid WHERE mapq >= 30)"
@@ -195,7 +195,7 @@ _SE_DEDUPED = f"deduped AS ({SQL['dedup_se']})"
   CASE WHEN direction = 1 THEN '+' ELSE '-' END, num_dups) AS line FROM named""")
 def tagalign_se_rows(spark, sf_dir):
     """Lines of single reads without barcode."""
-    return lines.tagalign_lines(_named(spark, sf_dir, dedup.at_least_mapq(dedup_se(spark, sf_dir))), barcoded=False)
+    return _named(spark, sf_dir, dedup.at_least_mapq(dedup_se(spark, sf_dir))).select(lines.tagalign_line(barcoded=False))
 
 
 @query(f"""WITH {_SE_DEDUPED}, {_SE_NAMED} SELECT concat_ws(chr(9), 'r' || read_id, fragment_length, 0, fragment_length, CASE WHEN direction = 1 THEN '+' ELSE '-' END, ref_name, l,
@@ -203,7 +203,7 @@ def tagalign_se_rows(spark, sf_dir):
 def paf_rows(spark, sf_dir):
     """PAF lines of single reads."""
     rows = dedup.at_least_mapq(dedup_se(spark, sf_dir)).join(table(spark, sf_dir, "ref_seqs").select("rid", "ref_name", F.col("length").alias("ref_length")), "rid")
-    return lines.paf_lines(rows.withColumns({"read_name": F.concat(F.lit("r"), "read_id"), "read_length": F.col("fragment_length")}))
+    return rows.withColumns({"read_name": F.concat(F.lit("r"), "read_id"), "read_length": F.col("fragment_length")}).select(lines.paf_line())
 
 
 @query(f"""{_CHAIN}, sized AS (SELECT n.*, r.length AS l FROM named n JOIN ref_seqs r ON n.rid = r.rid),
@@ -214,7 +214,7 @@ SELECT concat_ws(chr(9), 'r' || read_id || '/' || mate, n, 0, n, strand, ref_nam
 def paf_pair_rows(spark, sf_dir):
     """PAF lines of pairs, two a pair."""
     rows = cell_fragments(spark, sf_dir).join(table(spark, sf_dir, "ref_seqs").select("rid", "ref_name", F.col("length").alias("ref_length")), "rid")
-    return lines.paf_pair_lines(rows.withColumn("read_name", F.concat(F.lit("r"), "read_id")))
+    return lines.with_paf_pair_line(rows.withColumn("read_name", F.concat(F.lit("r"), "read_id"))).select("line")
 
 
 @query("SELECT seen AS barcode, count(*) AS abundance FROM (SELECT trim(split_part(upper(cell_barcode), '-', 1)) AS seen FROM paired_end_mapping_with_barcode) WHERE seen IN (SELECT barcode FROM whitelist) GROUP BY seen")

@@ -28,11 +28,13 @@ READ, FRAGMENT, STRIDE = 60, 200, 499
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function under its name or another, with its SQL twin."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -190,7 +192,7 @@ w2 AS (SELECT *, max(m) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT
 minimizers AS (SELECT rid, pos, strand, hash FROM w2 WHERE held = hash)"""
 
 
-@query(f"WITH {MINIMIZERS} SELECT rid, count(*) AS n_minimizers, {_FINGERPRINT} FROM minimizers GROUP BY rid")
+@query(f"WITH {MINIMIZERS} SELECT rid, count(*) AS n_minimizers, {_FINGERPRINT} FROM minimizers GROUP BY rid", "minimizers")
 def minimizers_of_references(spark, sf_dir):
     """K1, summed up per sequence."""
     found = minimizers.minimizers(references(spark, sf_dir), ["rid"], IP)
