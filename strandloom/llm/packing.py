@@ -17,7 +17,7 @@ from strandloom.storage import cut, spread
 
 CAPACITY = 4096
 #: Parts in which the documents of one length are ranked, so that a hot length is no hot task.
-PARTS = 16
+PARTS = 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public byte-level vocabulary's splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
