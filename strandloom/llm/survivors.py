@@ -72,14 +72,12 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
     grouped = cut(vertices.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("g")))
     nulls = sum(F.col(c).isNull().cast("int") for c in ("cell_barcode", "start", "length", "mapq", "num_dups"))
     wanted = rows.select(
-        *key, "record_id", "cell", "start", "length", "mapq", "num_dups",
+        *key, "record_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", (-nulls).alias("full"), F.col("cell_listed").cast("int").alias("listed"),
         source_of(F.col("cell_barcode"), F.col("cell_listed"), F.col("mapped_at"), F.col("loaded_at")).alias("source"),
-        F.struct(
-            (-nulls).alias("full"), F.col("cell_listed").cast("int").alias("listed"), F.coalesce("mapq", F.lit(-1)).alias("mapq"),
-            F.coalesce("num_dups", F.lit(-1)).alias("num_dups"), F.col("mapped_at").alias("mapped_at"), (-F.col("record_id")).alias("id"),
-        ).alias("rank"),
     )
-    return wanted.join(grouped, key).select("g", "record_id", "cell", "start", "length", "mapq", "num_dups", "source", "rank")
+    # the rank repeats columns, so it is put together behind the shuffle
+    rank = F.struct("full", "listed", F.coalesce("mapq", F.lit(-1)).alias("mapq"), F.coalesce("num_dups", F.lit(-1)).alias("num_dups"), "mapped_at", (-F.col("record_id")).alias("id"))
+    return wanted.join(grouped, key).select("g", "record_id", "cell", "start", "length", "mapq", "num_dups", "source", rank.alias("rank"))
 
 
 def _votes(masks: list[int], accuracy: np.ndarray, dependent: np.ndarray) -> list[float]:
