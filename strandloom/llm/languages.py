@@ -18,8 +18,9 @@ from strandloom.storage import spread
 
 #: Buckets of hashed letter trigrams; centroids per language.
 BUCKETS, CENTROIDS = 4096, 3
-#: Labelled documents per language and paragraphs per document that train the centroids.
-SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 80, 10
+#: Labelled documents per language, paragraphs per document and characters per paragraph that
+#: train the centroids; they bound what the driver gathers.
+SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, SAMPLE_CHARACTERS = 80, 10, 4000
 #: Least share of a language's paragraphs in a cluster; a smaller one holds strays.
 LEAST_CLUSTER = 0.02
 #: A paragraph is rejected below this share of its centroid's own least typical member's cosine.
@@ -196,7 +197,7 @@ def _sample(documents: DataFrame) -> tuple[np.ndarray, list[str]]:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(label, p[:4000]) for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in running_paragraphs(t)[:SAMPLE_PARAGRAPHS]]
+            rows = [(label, p[:SAMPLE_CHARACTERS]) for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in running_paragraphs(t)[:SAMPLE_PARAGRAPHS]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["label", "paragraph"])
 
     rows = sorted((r["label"], r["paragraph"]) for r in some.mapInArrow(cut_up, "label string, paragraph string").collect())
@@ -204,8 +205,8 @@ def _sample(documents: DataFrame) -> tuple[np.ndarray, list[str]]:
 
 
 def fit(documents: DataFrame) -> Model:
-    """A model from at most SAMPLE_DOCUMENTS labelled documents per language and
-    SAMPLE_PARAGRAPHS paragraphs each, chosen by a hash of doc_id."""
+    """A model from at most SAMPLE_DOCUMENTS labelled documents per language, chosen by a hash of
+    doc_id, and SAMPLE_PARAGRAPHS paragraphs of SAMPLE_CHARACTERS each. Only fitting is bounded."""
     return train(*_sample(documents))
 
 
