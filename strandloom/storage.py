@@ -20,6 +20,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
+def likely_tasks(df: DataFrame) -> int:
+    """About how many tasks a plan's output comes from, by the optimizer's size; runs nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(split[-1], 1)
+    return max(1, size // (int(split.rstrip("kmg")) * unit))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The application's folder below the shared one the cluster names in spark.checkpoint.dir;
     only a local session without that setting gets a folder of its own."""
