@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.batches import codes, within
+from strandloom.storage import likely_tasks
 
 #: Values a level holds before it is sorted and halved.
 K = 512
@@ -174,14 +175,23 @@ def sketch(df: DataFrame, keys: list[str], fields: list[str], k: int = K, seed:
         if schema is not None:
             yield from held.rows(schema)
 
-    return merge(rows.mapInArrow(make, out), keys, fields, k, seed)
+    return _united(rows.mapInArrow(make, out), keys, fields, k, seed)
 
 
 def merge(sketches: DataFrame, keys: list[str], fields: list[str], k: int = K, seed: int = 12) -> DataFrame:
-    """Sketches united by ``keys``, levelwise: of other days, files or a finer grouping."""
+    """Sketches united by ``keys``, levelwise: of other days, files or a finer grouping.
+
+    Every task first unites what it holds, so a group made of very many sketches is shuffled as
+    one per task.
+    """
     parts = sketches.select(*keys, *(f"{f}_{x}" for f in fields for x in ("values", "levels", "halved_levels", "halved")))
+    return _united(_merged(parts, keys, fields, _schema([parts.schema[c] for c in keys], fields), k, seed + 2), keys, fields, k, seed)
+
+
+def _united(parts: DataFrame, keys: list[str], fields: list[str], k: int, seed: int) -> DataFrame:
+    """The sketches of all tasks by group; beyond FAN_IN tasks, a salted step comes first."""
     schema = _schema([parts.schema[c] for c in keys], fields)
-    if (n := parts.rdd.getNumPartitions()) > FAN_IN:
+    if (n := likely_tasks(parts)) > FAN_IN:
         salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(math.ceil(math.sqrt(n)))))
         parts = _merged(salted.repartition(*keys, "__salt").drop("__salt"), keys, fields, schema, k, seed + 1)
     return _merged(parts.repartition(*keys), keys, fields, schema, k, seed)

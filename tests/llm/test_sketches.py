@@ -36,7 +36,7 @@ def test_merged_days_equal_a_sketch_of_all_in_count_and_bound(spark):
 
 
 def test_salted_merge_gives_the_same_counts(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "FAN_IN", 2)
+    monkeypatch.setattr(percentiles, "FAN_IN", 0)
     monkeypatch.setattr(percentiles, "FLUSH", 500)
     rows = spark.range(50000).select(F.lit(None).cast("string").alias("g"), F.col("id").alias("v")).repartition(12)
     r = percentiles.percentiles(percentiles.sketch(rows, ["g"], ["v"], k=64), ["g"], ["v"], [0.5]).first()
