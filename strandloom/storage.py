@@ -22,7 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def likely_tasks(df: DataFrame) -> int:
     """About how many tasks a plan's output comes from, by the optimizer's size; runs nothing."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower().rstrip("b")
     unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(split[-1], 1)
     return max(1, size // (int(split.rstrip("kmg")) * unit))
