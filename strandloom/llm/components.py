@@ -118,8 +118,8 @@ def crowded_points(points: DataFrame, reach: int) -> DataFrame:
 
     first_id is the smallest id at the point, root the smallest first_id of its cluster within
     the tile. Points near a tile's end are looked at in the next tile too; such rows have
-    own = false and only link that tile's root to the point. Clusters over several tiles are
-    united by following first_id and root as edges.
+    own = false, and a point that is alone in its own tile has no other row. Clusters over several
+    tiles are united by following first_id and root as edges.
 
     Every input task merges equal points before the shuffle, so a point with a third of all
     rows arrives as one row per task; work is spread by h and TILE positions of x.
@@ -159,7 +159,7 @@ def crowded_points(points: DataFrame, reach: int) -> DataFrame:
         root = root[near]
         own = x // TILE == tiles["tile"].to_numpy()[code]
         many = np.bincount(near, minlength=len(i))[near] > 1
-        keep = np.flatnonzero(np.where(own, many | (n > 1), root != i))
+        keep = np.flatnonzero(many | own & (n > 1))
         out = pa.table({"h": tiles["h"].to_numpy()[code[keep]], "x": x[keep], "y": y[keep], "first_id": i[keep], "n": n[keep], "root": root[keep], "own": own[keep]})
         yield from out.to_batches(max_chunksize=1 << 16)
 

@@ -61,14 +61,14 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
         placed.alias("placed"),
     )
     crowded = cut(crowded_points(rows.filter("placed").select(*key, F.col("record_id").alias("id")), REACH))
-    own = crowded.filter("own")
+    points = crowded.select(*key, "first_id").distinct()  # those near a tile's end may come from two tiles
     # records of reads that were delivered more than once, each linked to its read's first record
     reads = rows.filter("read_id IS NOT NULL").groupBy("read_id").agg(F.min("record_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("read_id", "lead")
     again = cut(rows.select("read_id", "record_id", *key).join(reads, "read_id").select("record_id", "lead", *key))
-    again = again.join(own.select(*key, "first_id"), key, "left").withColumn("vertex", F.coalesce("first_id", "record_id"))
+    again = again.join(points, key, "left").withColumn("vertex", F.coalesce("first_id", "record_id"))
     edges = crowded.select(F.col("first_id").alias("a"), F.col("root").alias("b")).unionByName(again.select(F.col("vertex").alias("a"), F.col("lead").alias("b")))
     roots = components(edges)
-    vertices = own.select(*key, F.col("first_id").alias("node")).unionByName(again.filter("first_id IS NULL").select(*key, F.col("record_id").alias("node")))
+    vertices = points.withColumnRenamed("first_id", "node").unionByName(again.filter("first_id IS NULL").select(*key, F.col("record_id").alias("node")))
     grouped = cut(vertices.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("g")))
     nulls = sum(F.col(c).isNull().cast("int") for c in ("cell_barcode", "start", "length", "mapq", "num_dups"))
     wanted = rows.select(

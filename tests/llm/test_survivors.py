@@ -122,3 +122,17 @@ def test_copiers_are_found():
     false[2, 3] = false[3, 2] = 18
     d = survivors._dependence(a, same, false, both)
     assert d[2, 3] > 0.99 and d[0, 1] < 0.01 and d[0, 0] == 0
+
+
+def test_lone_records_beside_a_tile_end_keep_their_group(spark):
+    """The first of each group is alone in its tile, with and without company behind it."""
+    import datetime
+
+    day, at = datetime.datetime(2025, 1, 1), components.TILE
+    starts = {1: at - 1, 2: at, 12: 3 * at + 2, 11: 3 * at - 6, 21: 5 * at - 8, 22: 5 * at, 23: 5 * at + 8, 31: 7 * at - 1, 32: 7 * at + 8}
+    rows = [(i, i, "L", 0, WHITE[0], s, 60, 1, 1, day, day, "x", "x", 1, "x", "x") for i, s in starts.items()]
+    members = survivors.duplicate_members(spark.createDataFrame(rows, KIND), spark.createDataFrame([(w,) for w in WHITE], "barcode string"))
+    groups = defaultdict(list)
+    for r in members.select("g", "record_id").collect():
+        groups[r["g"]].append(r["record_id"])
+    assert {g: sorted(m) for g, m in groups.items()} == {1: [1, 2], 11: [11, 12], 21: [21, 22, 23]}
