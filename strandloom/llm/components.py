@@ -57,6 +57,12 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def steps(v: np.ndarray) -> np.ndarray:
+    """Numbers from 1 to at most 2 len(v) in the order of ``v``, one apart where the values are."""
+    seen, at = np.unique(v, return_inverse=True)
+    return np.cumsum(np.r_[1, np.minimum(np.diff(seen), 2)])[at]
+
+
 def close_points(code: np.ndarray, x: np.ndarray, y: np.ndarray, reach: int) -> np.ndarray:
     """Smallest index of each point's cluster: same code, both coordinates at most ``reach``
     apart, closed transitively.
@@ -68,12 +74,10 @@ def close_points(code: np.ndarray, x: np.ndarray, y: np.ndarray, reach: int) ->
     n, side = len(code), reach + 1
     if n < 2:
         return np.arange(n)
-    gx, gy = x // side, y // side
-    gx, gy = gx - gx.min(), gy - gy.min()
-    wide, high = int(gx.max()) + 3, int(gy.max()) + 3
-    if (int(code.max()) + 1) * wide * high >= 1 << 62:
-        raise OverflowError("coordinates are too far apart for one task")
-    square = (code.astype(np.int64) * wide + gx + 1) * high + gy + 1
+    gx, gy = steps(x // side), steps(y // side)
+    gx = steps(code.astype(np.int64) * (2 * n + 2) + gx)
+    high = int(gy.max()) + 2
+    square = gx * high + gy
     order = np.lexsort((x, square))
     s = square[order]
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])

@@ -136,3 +136,13 @@ def test_lone_records_beside_a_tile_end_keep_their_group(spark):
     for r in members.select("g", "record_id").collect():
         groups[r["g"]].append(r["record_id"])
     assert {g: sorted(m) for g, m in groups.items()} == {1: [1, 2], 11: [11, 12], 21: [21, 22, 23]}
+
+
+def test_close_points_of_many_codes_far_apart():
+    """Pairs of near points in 300 000 keys over a whole chromosome, and single points elsewhere."""
+    n = 300_000
+    x = np.random.default_rng(1).integers(0, 250_000_000, n)
+    code = np.tile(np.arange(n), 2)
+    label = components.close_points(code, np.r_[x, x + np.where(np.arange(n) % 3 == 0, 30, 8)], np.r_[x + 60, x + 64], 8)
+    assert (label[:n] == np.arange(n)).all()
+    assert (label[n:] == np.arange(n) + np.where(np.arange(n) % 3 == 0, n, 0)).all()
