@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +58,15 @@ def compact(code: np.ndarray, level: np.ndarray, value: np.ndarray, k: int, rng:
 
 
 class _Hierarchies:
-    """Sketches of many groups and fields of one task."""
+    """Sketches of many groups and fields of one task.
 
-    def __init__(self, fields: list[str], k: int, seed: int):
-        self.fields, self.k, self.rng = fields, k, np.random.default_rng(seed)
+    Its coins follow from the seed, the step, the partition and the values first compacted, so
+    they are its own among all tasks and steps, and the same when the task is run again.
+    """
+
+    def __init__(self, fields: list[str], k: int, seed: int, step: int):
+        self.fields, self.k, self.rng = fields, k, None
+        self.seeds = [seed, step, TaskContext.get().partitionId()]
         self.keys: list[pa.Table] = []
         self.n_keys = 0
         self.items = {f: [] for f in fields}  # (row of keys, level, value)
@@ -85,6 +91,9 @@ class _Hierarchies:
         keys = pa.concat_tables(self.keys)
         code, seen = codes(keys)
         self.fresh, self.base, self.keys, self.n_keys = 0, seen.num_rows, [seen], seen.num_rows
+        if self.rng is None:
+            bits = sum(int(p[2].astype(float).view(np.uint64).sum()) for f in self.fields for p in self.items[f])
+            self.rng = np.random.default_rng([*self.seeds, bits])
         for f in self.fields:
             row, level, value = (np.concatenate([p[i] for p in self.items[f]]) for i in range(3))
             c, h, v, dc, dh = compact(code[row], level.astype(np.int64), value.astype(float), self.k, self.rng)
@@ -129,9 +138,9 @@ def _arrow(keys: pa.Schema, fields: list[str]) -> pa.Schema:
     return pa.schema([*keys, *(pa.field(f"{f}_{name}", pa.list_(pa.field("element", kind, False))) for f in fields for name, kind in kinds)])
 
 
-def _merged(parts: DataFrame, keys: list[str], fields: list[str], schema: T.StructType, k: int, seed: int) -> DataFrame:
+def _merged(parts: DataFrame, keys: list[str], fields: list[str], schema: T.StructType, k: int, seed: int, step: int) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = _Hierarchies(fields, k, seed), None
+        held, out = _Hierarchies(fields, k, seed, step), None
         for b in batches:
             t = pa.Table.from_batches([b])
             out = out or _arrow(t.select(keys).schema, fields)
@@ -162,7 +171,7 @@ def sketch(df: DataFrame, keys: list[str], fields: list[str], k: int = K, seed:
     out = _schema([rows.schema[c] for c in keys], fields)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, schema = _Hierarchies(fields, k, seed), None
+        held, schema = _Hierarchies(fields, k, seed, 0), None
         for b in batches:
             t = pa.Table.from_batches([b])
             schema = schema or _arrow(t.select(keys).schema, fields)
@@ -185,7 +194,7 @@ def merge(sketches: DataFrame, keys: list[str], fields: list[str], k: int = K, s
     one per task.
     """
     parts = sketches.select(*keys, *(f"{f}_{x}" for f in fields for x in ("values", "levels", "halved_levels", "halved")))
-    return _united(_merged(parts, keys, fields, _schema([parts.schema[c] for c in keys], fields), k, seed + 2), keys, fields, k, seed)
+    return _united(_merged(parts, keys, fields, _schema([parts.schema[c] for c in keys], fields), k, seed, 1), keys, fields, k, seed)
 
 
 def _united(parts: DataFrame, keys: list[str], fields: list[str], k: int, seed: int) -> DataFrame:
@@ -193,8 +202,8 @@ def _united(parts: DataFrame, keys: list[str], fields: list[str], k: int, seed:
     schema = _schema([parts.schema[c] for c in keys], fields)
     if (n := likely_tasks(parts)) > FAN_IN:
         salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(math.ceil(math.sqrt(n)))))
-        parts = _merged(salted.repartition(*keys, "__salt").drop("__salt"), keys, fields, schema, k, seed + 1)
-    return _merged(parts.repartition(*keys), keys, fields, schema, k, seed)
+        parts = _merged(salted.repartition(*keys, "__salt").drop("__salt"), keys, fields, schema, k, seed, 2)
+    return _merged(parts.repartition(*keys), keys, fields, schema, k, seed, 3)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], fields: list[str], at: list[float], delta: float = DELTA) -> DataFrame:

@@ -113,3 +113,18 @@ def test_query_5_equals_sql(spark, small, name):
 
 def test_rank_bound_formula():
     assert math.isclose(percentiles.DELTA, 1e-3)
+
+
+def test_tasks_draw_their_own_coins_and_the_bound_holds_over_them(spark):
+    """Tasks with the same values: with the same coins, their errors would add up."""
+    tasks, size, k = 100, 2000, 128
+    rows = spark.range(0, tasks * size, 1, tasks).select(F.floor(F.col("id") / size).alias("g"), (F.col("id") % size).cast("double").alias("v"))
+    made = percentiles.sketch(rows, ["g"], ["v"], k=k)
+    held = [tuple(tuple(c) for c in r) for r in made.drop("g").collect()]
+    assert len(held) == tasks and len({v for v, *_ in held}) > 10
+    rank, spread = np.zeros(size), 0.0
+    for values, levels, halved_levels, halved in held:
+        rank += np.cumsum(np.bincount(np.array(values, int), weights=np.exp2(levels), minlength=size))
+        spread += sum(n * 4.0**h for h, n in zip(halved_levels, halved))
+    assert np.abs(rank - tasks * np.arange(1, size + 1)).max() <= math.sqrt(2 * math.log(2 / percentiles.DELTA) * spread)
+    assert sorted(held) == sorted(tuple(tuple(c) for c in r) for r in made.drop("g").collect())
