@@ -21,8 +21,8 @@ from strandloom.storage import cut, spread, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 IP = IndexParams()
-#: Text is repetitive next to a genome, so its seeds are called frequent much earlier.
-PARAMS = MapParams(max_seed_frequencies=(6, 12), max_insert_size=400)
+#: The engine's own seed frequencies; inserts as short as the made fragments.
+PARAMS = MapParams(max_insert_size=400)
 #: Length of made reads and fragments, and the distance of one read's start to the next.
 READ, FRAGMENT, STRIDE = 60, 200, 499
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC"

@@ -245,3 +245,15 @@ def test_quality_falls_with_rivals_and_repeats(spark):
     )
     r = df.first()
     assert r["best"] == 60 and r["tied"] == 0 and r["rival"] < 60 and r["repeat"] < 60
+
+
+def test_registered_frequencies_keep_the_seeds_of_repeated_text(spark):
+    """A text that occurs 20 times gives a read all its 20 places, as counted by brute force."""
+    from strandloom.plans.sequences import IP, PARAMS
+
+    text = dna(200)
+    refs = {i: dna(i) + text for i in range(20)}
+    index = minimizers.build_index(spark.createDataFrame(list(refs.items()), "rid int, seq string"), IP)
+    ends = minimizers.minimizers(spark.createDataFrame([(1, 1, text[50:110])], "read_id long, mate int, seq string"), seeds.END, IP)
+    got = {(r["rid"], r["pos"]) for r in seeds.two_round_hits(ends, index, PARAMS.max_seed_frequencies, IP.kmer_size).filter("plus").collect()}
+    assert {(i, s.index(text[50:110])) for i, s in refs.items()} <= got
