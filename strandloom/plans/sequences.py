@@ -23,8 +23,9 @@ SQL: dict[str, str] = {}
 IP = IndexParams()
 #: The engine's own seed frequencies; inserts as short as the made fragments.
 PARAMS = MapParams(max_insert_size=400)
-#: Length of made reads and fragments, and the distance of one read's start to the next.
-READ, FRAGMENT, STRIDE = 60, 200, 499
+#: Length of made reads and fragments, and the distance of one read's start to the next: short
+#: enough to leave no base between two reads, and prime to 60, so that changed bases vary.
+READ, FRAGMENT, STRIDE = 60, 200, 59
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC"
 
 
@@ -296,7 +297,7 @@ def draft_best(spark, sf_dir):
 @query()
 def adapter_trim(spark, sf_dir):
     """Fragments shorter than their reads lose the adapter read behind them."""
-    at = F.explode(F.sequence(F.lit(8), F.length("seq") - 120, F.lit(STRIDE)))
+    at = F.explode(F.sequence(F.lit(8), F.length("seq") - 120, F.lit(40)))
     rows = references(spark, sf_dir).filter(F.length("seq") >= 140).select("rid", "seq", at.alias("pos"))
     piece = F.substring("seq", F.col("pos") + 1, F.lit(40))
     made = rows.select((F.col("rid").cast("long") * 1_000_000 + F.col("pos")).alias("read_id"), F.concat(piece, F.lit("CTGTCTCTTATACACATCTC")).alias("seq1"), F.concat(sequence.reverse_complement(piece), F.lit("CTGTCTCTTATACACATCTG")).alias("seq2"))

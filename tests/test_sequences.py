@@ -257,3 +257,12 @@ def test_registered_frequencies_keep_the_seeds_of_repeated_text(spark):
     ends = minimizers.minimizers(spark.createDataFrame([(1, 1, text[50:110])], "read_id long, mate int, seq string"), seeds.END, IP)
     got = {(r["rid"], r["pos"]) for r in seeds.two_round_hits(ends, index, PARAMS.max_seed_frequencies, IP.kmer_size).filter("plus").collect()}
     assert {(i, s.index(text[50:110])) for i, s in refs.items()} <= got
+
+
+def test_reads_leave_no_base_between_them(spark, small):
+    from strandloom.plans import sequences
+
+    found = sequences.reads(spark, small).select("true_rid", "true_pos").toPandas().sort_values(["true_rid", "true_pos"])
+    steps = found.groupby("true_rid").true_pos.diff().dropna()
+    assert len(steps) > 1000 and steps.max() <= sequences.READ
+    assert abs((found.true_pos % 3 == 0).mean() - 1 / 3) < 0.02 and found.true_pos.mod(sequences.READ).nunique() == sequences.READ
