@@ -19,14 +19,14 @@ STRING = 1 << 21
 #: Hash of a k-mer without a strand, above all others.
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_CODE = np.full(256, 4, np.uint8)
+CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate("ACGT"):
-    _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
+    CODE[ord(_b)] = CODE[ord(_b.lower())] = _i
 
 
 def codes_of(seq: str) -> np.ndarray:
     """0..3 for A, C, G and T in either case, 4 for others."""
-    return _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    return CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
 def hash64(key: np.ndarray, bits: int) -> np.ndarray:

@@ -263,13 +263,19 @@ def seed_fallback(spark, sf_dir):
     return hits.filter("round = 2").groupBy("read_id").agg(F.count("*").alias("n_hits"))
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    refs, index = _index(spark, sf_dir)
+    return refs, index, seeds.read_candidates(_read_minimizers(spark, sf_dir), index, PARAMS.max_seed_frequencies, IP, PARAMS.error_threshold, PARAMS.min_seeds, 1)
+
+
 @query()
 def hit_clusters(spark, sf_dir):
-    """Candidates of every read, both strands, by support."""
-    _, index = _index(spark, sf_dir)
-    found = reads(spark, sf_dir).withColumn("mate", F.lit(1))
-    rows = pipeline._exploded(pipeline._seeded(found, index, PARAMS, IP)[2])
-    return rows.select("read_id", "plus", F.floor(F.col("spot") / seeds.WRAP).cast("int").alias("rid"), (F.col("spot") % seeds.WRAP).alias("pos"), "n")
+    """Candidates of every read on both strands, summed up per read."""
+    rows = _candidates(spark, sf_dir)[2]
+    each = F.concat("plus1", "minus1")
+    weighed = F.aggregate(each, F.lit(0).cast("long"), lambda a, c: a + (F.floor(c["spot"] / seeds.WRAP) * 7919 + c["spot"] % seeds.WRAP) % 1_000_003 * c["n"])
+    support = F.aggregate(each, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    return rows.select("read_id", F.col("n_minimizers1").alias("n_minimizers"), F.col("repetitive_length1").alias("repetitive_length"), F.col("required1").alias("required"), F.size("plus1").alias("n_plus"), F.size("minus1").alias("n_minus"), support.alias("support"), weighed.alias("fingerprint"))
 
 
 @query()
@@ -286,12 +292,12 @@ def edit_distance(spark, sf_dir):
 
 @query()
 def draft_best(spark, sf_dir):
-    """Least errors of every read with the counts behind its quality."""
-    refs, index = _index(spark, sf_dir)
-    ends = reads(spark, sf_dir).withColumn("mate", F.lit(1))
-    _, counts, found = pipeline._seeded(ends, index, PARAMS, IP)
-    drafts = pipeline._drafts(pipeline._exploded(found), ends, counts, refs, PARAMS)
-    return pairing.placement_counts(drafts, seeds.END, PARAMS.error_threshold)
+    """Least errors of every read with the counts behind its quality."""
+    refs, _, rows = _candidates(spark, sf_dir)
+    ends = reads(spark, sf_dir).select("read_id", F.lit(1).alias("mate"), "seq")
+    rows = rows.join(ends, "read_id").select("read_id", "mate", "seq", F.col("n_minimizers1").alias("n_minimizers"), F.col("plus1").alias("plus"), F.col("minus1").alias("minus"))
+    drafts = pipeline._drafts(rows, refs, PARAMS, READ)
+    return pairing.best_single(drafts, PARAMS).select("read_id", F.col("errors").alias("errors_min"), "n_best", "errors_second", "n_second")
 
 
 @query()

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes up to which a table of known row count is broadcast; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,12 @@ def likely_tasks(df: DataFrame) -> int:
     return max(1, size // (int(split.rstrip("kmg")) * unit))
 
 
+def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` marked for a broadcast if ``rows`` counted rows of about ``row_bytes`` are within
+    BROADCAST_BYTES; a larger one is left to shuffled joins."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The application's folder below the shared one the cluster names in spark.checkpoint.dir;
     only a local session without that setting gets a folder of its own."""

@@ -78,6 +78,51 @@ def test_split_reads_become_contacts(spark, genome):
     assert len(good) >= 50
 
 
+def test_shuffled_joins_give_what_broadcast_ones_give(spark, genome, monkeypatch):
+    from strandloom import storage
+
+    parts, refs, index = genome
+    single, pairs = made(parts, 120)
+    reads = spark.createDataFrame(single, "read_id long, seq string, t_rid int, t_pos int, t_plus boolean")
+    both = spark.createDataFrame(pairs, "read_id long, seq1 string, seq2 string, t_rid int, t_pos int, t_size int, t_plus boolean")
+    run = lambda: [sorted(tuple(r) for r in df.collect()) for df in (pipeline.map_single(reads, index, refs), pipeline.map_paired(both, index, refs))]
+    want = run()
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    assert run() == want and len(want[0]) > 100
+
+
+@pytest.mark.parametrize("size", [1009, 3000, 8000])
+def test_reads_of_any_length_map(spark, genome, size):
+    parts, refs, index = genome
+    rows = [(1, parts[0][9500 : 9500 + size]), (2, wrong(parts[0][9100 : 9100 + size], 5).translate(TURN)[::-1]), (3, parts[1][300:360])]
+    found = {r["read_id"]: r for r in pipeline.map_single(spark.createDataFrame(rows, "read_id long, seq string"), index, refs).collect()}
+    assert [(found[i]["rid"], found[i]["fragment_start_position"], found[i]["fragment_length"], found[i]["direction"]) for i in (1, 2, 3)] == [(0, 9500, size, 1), (0, 9100, size, 0), (1, 300, 60, 1)]
+
+
+def test_further_placements_of_a_read_are_secondary(spark, genome):
+    parts, refs, index = genome
+    reads = spark.createDataFrame([(1, parts[0][6000:6080])], "read_id long, seq string")
+    found = pipeline.map_single(reads.withColumn("bases", F.col("seq")), index, refs, MapParams(max_best_mappings=5)).withColumnRenamed("bases", "seq")
+    flags = [r["line"].split("\t")[1] for r in lines.sam_lines(pipeline.sam_records(found, refs, MapParams())).collect()]
+    assert sorted(flags) == ["0", "256"]
+    pair = spark.createDataFrame([(1, parts[0][6000:6080], parts[0][6120:6200].translate(TURN)[::-1])], "read_id long, seq1 string, seq2 string")
+    both = pipeline.map_paired(pair.withColumns({"bases1": F.col("seq1"), "bases2": F.col("seq2")}), index, refs, MapParams(max_best_mappings=5)).withColumns({"read_name": F.lit("x"), "ref_name": F.lit("d")})
+    flags = sorted(int(r["line"].split("\t")[1]) for r in lines.sam_lines(pipeline.sam_pair_records(both, refs, MapParams())).collect())
+    assert flags == [99, 147, 355, 403]
+
+
+def test_draw_on_arrays_equals_the_draw_on_rows(spark):
+    import numpy as np
+
+    from strandloom.operators import pairing
+
+    rows = [(RNG.randrange(30), RNG.randrange(10**9)) for _ in range(400)]
+    of = np.array([r[0] for r in rows])
+    at = pairing.drawn_first(of, of, [np.array([r[1] for r in rows])], 3, 11)
+    want = pairing.top_n(spark.createDataFrame(rows, "k long, x long"), ["k"], "k", ["x"], 3).collect()
+    assert sorted(rows[i] for i in at) == sorted((r["k"], r["x"]) for r in want)
+
+
 def test_sam_lines(spark, genome):
     parts, refs, index = genome
     reads = spark.createDataFrame([(1, parts[1][100:160]), (2, wrong(parts[1][300:360].translate(TURN)[::-1], 1))], "read_id long, seq string")

@@ -125,7 +125,7 @@ def test_gapped_alignment_accounts_for_every_base():
     for _ in range(60):
         ref = dna(60)
         read = changed(ref, RNG.randrange(0, 4))
-        cigar, nm, md = align.gapped(read, ref, 8)
+        cigar, nm, md = align.gapped([read], [ref])[0]
         import re
 
         ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MID])", cigar)]
@@ -142,12 +142,76 @@ def test_gapped_alignment_accounts_for_every_base():
         assert matched == same and wrong >= 0
 
 
+def prefixes(read, window, e):
+    codes, sizes = align.padded([read])
+    return [int(x[0]) for x in align.prefix_matches(codes, sizes, align.padded([window])[0], e)]
+
+
 def test_split_prefix_stops_where_the_read_leaves_the_reference():
     ref, e = dna(200), 4
     read = ref[e : e + 60] + dna(40)
-    n, wrong, end = align.prefix_match(align.codes_of(read), align.codes_of(ref), e)
-    assert 58 <= n <= 70 and wrong <= e and abs(end - (e + n - 1)) <= e
-    assert align.prefix_match(align.codes_of(dna(100)), align.codes_of(ref), e)[0] == 0
+    n, wrong, first, end = prefixes(read, ref[: 100 + 2 * e], e)
+    assert 58 <= n <= 70 and wrong <= e and first == e and abs(end - (e + n - 1)) <= e
+    assert prefixes(dna(100), ref[: 100 + 2 * e], e)[0] == 0
+
+
+def test_split_read_with_a_damaged_five_prime_end_is_tried_again():
+    ref, e = dna(200), 4
+    spoilt = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[x] for x in ref[e : e + 12])
+    n, wrong, first, end = prefixes(spoilt + ref[e + 12 : e + 100], ref[: 100 + 2 * e], e)
+    assert n == 100 and wrong == 0 and first == e + 12 and end == e + 99
+
+
+def test_prefixes_of_many_reads_equal_each_alone():
+    e, reads, windows = 4, [], []
+    for _ in range(200):
+        ref = dna(180)
+        k = RNG.randrange(5, 90)
+        reads.append(changed(ref[e : e + k], RNG.randrange(3)) + dna(RNG.randrange(1, 60)))
+        windows.append((ref + dna(200))[: len(reads[-1]) + 2 * e])
+    codes, sizes = align.padded(reads)
+    got = align.prefix_matches(codes, sizes, align.padded(windows)[0], e)
+    assert [tuple(int(x[i]) for x in got) for i in range(200)] == [tuple(prefixes(r, w, e)) for r, w in zip(reads, windows)]
+
+
+def score(read, ref, p):
+    """Best end-to-end affine score by the textbook recurrence."""
+    low = -(10**9)
+    M, I, D = ([[low] * (len(ref) + 1) for _ in range(len(read) + 1)] for _ in range(3))
+    M[0][0] = 0
+    for i in range(len(read) + 1):
+        for j in range(len(ref) + 1):
+            if i and j:
+                M[i][j] = max(x[i - 1][j - 1] for x in (M, I, D)) + (p.match if read[i - 1] == ref[j - 1] else -p.mismatch)
+            if i:
+                I[i][j] = max(max(M[i - 1][j], D[i - 1][j]) - p.gap_open[1] - p.gap_extend[1], I[i - 1][j] - p.gap_extend[1])
+            if j:
+                D[i][j] = max(max(M[i][j - 1], I[i][j - 1]) - p.gap_open[0] - p.gap_extend[0], D[i][j - 1] - p.gap_extend[0])
+    return max(x[-1][-1] for x in (M, I, D))
+
+
+@pytest.mark.parametrize("params", [MapParams(), MapParams(gap_open=(1, 1)), MapParams(match=2, mismatch=1, gap_open=(9, 2), gap_extend=(3, 1))])
+def test_gapped_alignment_is_best_under_the_scores(params):
+    import re
+
+    refs = [dna(RNG.randrange(20, 50)) for _ in range(40)]
+    reads = [changed(r, RNG.randrange(0, 6)) for r in refs]
+    for read, ref, (cigar, nm, _) in zip(reads, refs, align.gapped(reads, refs, params)):
+        x = y = total = 0
+        for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MID])", cigar)):
+            if op == "M":
+                total += sum(params.match if a == b else -params.mismatch for a, b in zip(read[x : x + n], ref[y : y + n]))
+            else:
+                k = op == "I"
+                total -= params.gap_open[k] + params.gap_extend[k] * n
+            x, y = x + n * (op != "D"), y + n * (op != "I")
+        assert (x, y) == (len(read), len(ref)) and total == score(read, ref, params)
+
+
+def test_gap_scores_change_a_cigar():
+    ref = dna(40)
+    read = ref[:10] + ref[11:30] + "ACGT"["TGCA".index(ref[30])] + ref[30:]
+    assert align.gapped([read], [ref], MapParams(gap_open=(0, 0), mismatch=9))[0][0] != align.gapped([read], [ref], MapParams(gap_open=(60, 60)))[0][0]
 
 
 def clusters_one_by_one(hits, reach, required, n):
@@ -184,6 +248,17 @@ def test_clusters_equal_hits_taken_one_by_one():
         assert seeds.cluster(np.array(hits, np.int64), 4, 2, n) == clusters_one_by_one(hits, 4, 2, n)
 
 
+def test_islands_of_many_ends_equal_each_alone():
+    n = np.array([RNG.randrange(1, 6) for _ in range(300)])
+    need = np.array([RNG.randrange(1, 3) for _ in range(300)])
+    hits = [sorted(RNG.randrange(0, 60) + RNG.choice([0, seeds.WRAP]) for _ in range(RNG.randrange(0, 30))) for _ in range(300)]
+    row, spot = np.repeat(np.arange(300), [len(h) for h in hits]), np.array([x for h in hits for x in h])
+    back = RNG.sample(range(len(row)), len(row))
+    end, at, support = seeds.islands(*seeds.sorted_hits(row[back], spot[back]), 4, need, n)
+    for i, h in enumerate(hits):
+        assert list(zip(at[end == i].tolist(), support[end == i].tolist())) == clusters_one_by_one(h, 4, need[i], n[i])
+
+
 def test_paired_candidates_have_partners():
     a = [(100, 3), (5000, 9), (9000, 2)]
     b = [(150, 2), (9900, 3), (seeds.WRAP + 90, 8)]
@@ -194,8 +269,8 @@ def test_paired_candidates_have_partners():
 
 def test_merge_keeps_the_better_supported():
     assert seeds.merge_candidates([(10, 2), (100, 1)], [(10, 5), (14, 9), (200, 1)], 8) == [(10, 5), (100, 1), (200, 1)]
-    assert seeds.rescue_windows([(100, 3), (150, 3), (9000, 3), (500, 1)], 100, 2, 500) == (3, [(0, 250), (8900, 9100)])
-    assert seeds.rescue_windows([(i, 2) for i in range(250)], 10, 2, 500) == (-2, [])
+    assert seeds.rescue_windows(np.array([100, 150, 9000, 500]), np.array([3, 3, 3, 1]), 100, 2, 500) == (3, [(0, 250), (8900, 9100)])
+    assert seeds.rescue_windows(np.arange(250), np.full(250, 2), 10, 2, 500) == (-2, [])
 
 
 def test_signature_of_a_read_and_its_reverse_complement(spark):
@@ -205,14 +280,33 @@ def test_signature_of_a_read_and_its_reverse_complement(spark):
     assert got[1] == got[2] != got[3]
 
 
-def test_adapters():
-    piece = dna(40)
-    assert overlap_lengths(piece + "CTGTCTCTTATACACA", turned(piece) + "CTGTCTCTTATACACA", 30) == (40, 40)
+def overlap_one_by_one(seq1, seq2, least):
+    """Every occurrence of either half, tried in order."""
+    short, long_ = (seq1, seq2) if len(seq1) <= len(seq2) else (seq2, seq1)
+    back, half = turned(long_), least // 2
+    for offset in (0, half):
+        for begin in range(len(back) - least + 1):
+            seed = short[offset : offset + half]
+            if len(seed) == half and back[begin + offset : begin + offset + half] == seed and sum(x != y for x, y in zip(back[begin:], short)) <= 1:
+                kept = min(len(back) - begin, len(short))
+                return (kept, len(back) - begin) if len(seq1) <= len(seq2) else (len(back) - begin, kept)
+    return len(seq1), len(seq2)
+
+
+def test_adapters(spark):
+    from strandloom.operators.adapters import trim_pairs
+
+    piece, a, b = dna(40), dna(60), dna(60)
     wrong = piece[:20] + ("A" if piece[20] != "A" else "C") + piece[21:]
-    assert overlap_lengths(wrong + "CTGTCTCTTATACACA", turned(piece) + "CTGTCTCTTATACACA", 30) == (40, 40)
-    a, b = dna(60), dna(60)
-    assert overlap_lengths(a, b, 30) == (60, 60) and overlap_lengths("", b, 30) == (0, 60)
-    assert overlap_lengths(piece[:35], turned(piece), 30) in {(35, 40), (35, 35)}
+    pairs = [(piece + "CTGTCTCTTATACACA", turned(piece) + "CTGTCTCTTATACACA"), (wrong + "CTGTCTCTTATACACA", turned(piece) + "CTGTCTCTTATACACA"), (a, b), ("", b), (piece[:35], turned(piece))]
+    for _ in range(300):
+        f = dna(RNG.randrange(25, 70))
+        pairs.append((changed(f, RNG.randrange(3)) + dna(RNG.randrange(20)), changed(turned(f), RNG.randrange(2)) + dna(RNG.randrange(20))))
+    got = overlap_lengths([p[0] for p in pairs], [p[1] for p in pairs], 30)
+    assert list(zip(got[0].tolist(), got[1].tolist())) == [overlap_one_by_one(x, y, 30) for x, y in pairs]
+    rows = trim_pairs(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)] + [(-1, None, a), (-2, None, None)], "i int, seq1 string, seq2 string")).collect()
+    want = {i: (x[: got[0][i]], y[: got[1][i]]) for i, (x, y) in enumerate(pairs)} | {-1: (None, a), -2: (None, None)}
+    assert {r["i"]: (r["seq1"], r["seq2"]) for r in rows} == want
 
 
 def test_scalar_functions(spark):
