@@ -12,7 +12,7 @@ from strandloom.plans import workflow
 #: Options of `map` that set a parameter of the same name, with their kind.
 NUMBERS = {
     "error_threshold": int, "min_seeds": int, "max_insert_size": int, "mapq_threshold": int, "min_read_length": int, "max_best_mappings": int, "drop_repetitive_reads": int, "barcode_errors": int,
-    "barcode_probability": float, "allocation_distance": int, "seed": int, "cache_size": int, "cache_update": float, "minhash_size": int,
+    "match": int, "mismatch": int, "barcode_probability": float, "allocation_distance": int, "seed": int, "cache_size": int, "minhash_size": int,
 }
 SWITCHES = ["trim_adapters", "remove_duplicates", "tn5_shift", "split_alignment", "low_memory", "keep_unlisted_barcodes", "skip_barcode_check", "allocate_multi_mappings"]
 
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     run = verbs.add_parser("map")
     for name in ("reference", "index", "out", "read1"):
         run.add_argument(f"--{name}", required=True)
-    for name in ("read2", "barcode", "whitelist", "translation", "order", "summary-out", "preset", "read-format", "frip-coefficients", "max-seed-frequencies"):
+    for name in ("read2", "barcode", "whitelist", "translation", "order", "summary-out", "preset", "read-format", "frip-coefficients", "max-seed-frequencies", "gap-open", "gap-extend"):
         run.add_argument(f"--{name}")
     run.add_argument("--output-format", choices=FORMATS)
     level = run.add_mutually_exclusive_group()
@@ -53,8 +53,9 @@ def map_params(args: argparse.Namespace) -> MapParams:
     given = {n: getattr(args, n) for n in (*NUMBERS, *SWITCHES, "output_format", "read_format", "duplicates_at_bulk_level", "count_cache_slots") if getattr(args, n) is not None}
     if args.frip_coefficients:
         given["frip_coefficients"] = parse_frip(args.frip_coefficients)
-    if args.max_seed_frequencies:
-        given["max_seed_frequencies"] = tuple(int(x) for x in args.max_seed_frequencies.split(","))
+    for name in ("max_seed_frequencies", "gap_open", "gap_extend"):
+        if getattr(args, name):
+            given[name] = tuple(int(x) for x in getattr(args, name).split(","))
     return (preset(args.preset) if args.preset else MapParams()).but(**given)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -26,3 +28,32 @@ def within(code: np.ndarray) -> np.ndarray:
     new = np.r_[True, code[1:] != code[:-1]]
     first = np.flatnonzero(new)
     return np.arange(len(code)) - np.repeat(first, np.diff(np.r_[first, len(code)]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 26) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``keys``, each of about ``most`` bytes or one group."""
+    held, size, room = [], 0, most
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size < room:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        open_ = np.ones(len(t), bool)  # rows of the last group, of which more may come
+        for k in keys:
+            c = t[k].combine_chunks()
+            c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+            last = c[-1]
+            same = c.is_valid() if last.as_py() is None else pa.compute.fill_null(pa.compute.equal(c, last), False)
+            open_ &= ~same.to_numpy(zero_copy_only=False) if last.as_py() is None else same.to_numpy(zero_copy_only=False)
+        first = len(t) - int(open_[::-1].argmin() if not open_.all() else len(t))
+        if first:
+            yield t.slice(0, first)
+            t = pa.table(t.slice(first))
+            held, room = t.to_batches(), most
+            size = sum(x.nbytes for x in held)
+        room = max(most, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 #: A whitelist of up to this many rows is spread as a broadcast of its one-base
 #: neighbourhood (at most 1 + 4 x length entries a row); a longer one is joined by shuffle.
 BROADCAST_WHITELIST_ROWS = 10_000
-#: Copies of the repair table in a shuffled repair join, against hot barcodes.
-SALTS = 16
 
 
 def normal_barcode(barcode: Column) -> Column:
@@ -49,19 +47,15 @@ def with_cell(df: DataFrame, whitelist: DataFrame, barcode: str = "cell_barcode"
     A barcode that cannot be repaired stays as normalised. An empty whitelist repairs nothing.
     Columns that have the new names already are replaced.
     The whitelist is broadcast only if its row count is within ``BROADCAST_WHITELIST_ROWS``;
-    otherwise the repair table is joined by shuffle on salted keys, so that a hot barcode is
-    spread over ``SALTS`` tasks.
+    otherwise the repair table is joined by shuffle. Its keys are unique, so the join may be split
+    anywhere on the side of the rows, which adaptive execution does with a hot barcode.
     """
     df = df.drop(*({into, f"{into}_listed"} - {barcode}))
-    seen, fixed, ok, salt = "__seen", "__fixed", "__ok", "__salt"
+    seen, fixed, ok = "__seen", "__fixed", "__ok"
     table = neighbourhood(whitelist).select(F.col("seen").alias(seen), F.col("cell").alias(fixed), F.col("listed").alias(ok))
     rows = df.withColumn(seen, normal_barcode(F.col(barcode)))
-    if whitelist.count() <= BROADCAST_WHITELIST_ROWS:
-        joined = rows.join(F.broadcast(table), seen, "left")
-    else:
-        table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn(salt, F.pmod(F.hash(*[F.col(f"`{c}`") for c in df.columns if c != barcode] or [F.lit(0)]), F.lit(SALTS)))
-        joined = rows.join(table, [seen, salt], "left").drop(salt)
+    small = whitelist.count() <= BROADCAST_WHITELIST_ROWS
+    joined = rows.join(F.broadcast(table) if small else table, seen, "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns if c != into],
         F.coalesce(fixed, seen).alias(into),

@@ -51,8 +51,9 @@ def correct(observed: DataFrame, whitelist: DataFrame, counts: DataFrame, length
     ``probability`` strictly. Ties go to the smaller barcode. Barcodes of another length and
     null ones are rejected; a null quality counts as the lowest. ``key`` must be unique.
 
-    Candidates are found by joining strings with one or two positions masked, so the work grows
-    with the unlisted barcodes, not with their product with the whitelist.
+    Candidates are found by joining strings with one or two positions masked, once per different
+    unlisted barcode; their weights once per different barcode and quality. So the work grows
+    with what is spelt differently, not with the rows nor with a product with the whitelist.
     """
     n_count = F.length(barcode) - F.length(F.replace(F.col(barcode), F.lit("N"), F.lit("")))
     listed = whitelist.select(F.col("barcode").alias(barcode), F.lit(True).alias("__listed")).distinct()
@@ -64,18 +65,19 @@ def correct(observed: DataFrame, whitelist: DataFrame, counts: DataFrame, length
     else:
         masks = [m for e in range(1, errors + 1) for m in _masks(length, e)]
         variants = lambda c: F.explode(F.array(*(_masked(F.col(c), m) for m in masks)))
-        asked = rows.filter(open_).select(key, F.col(barcode).alias("__seen"), F.coalesce(quality, F.lit("")).alias("__q"))
+        unlisted = observed.select(F.col(barcode), F.coalesce(quality, F.lit("")).alias("__q")).distinct().join(listed, barcode, "left").withColumn("__n", n_count).filter(open_)
+        asked = unlisted.select(F.col(barcode).alias("__seen"), "__q")
         near = whitelist.select("barcode").distinct().filter(F.length("barcode") == length).select("barcode", variants("barcode").alias("__mask"))
-        pairs = asked.select("*", variants("__seen").alias("__mask")).join(near, "__mask").select(key, "__seen", "__q", "barcode").distinct()
-        pairs = pairs.join(counts.select("barcode", "abundance"), "barcode", "left")
+        pairs = asked.select("__seen").distinct().select("__seen", variants("__seen").alias("__mask")).join(near, "__mask").select("__seen", "barcode").distinct()
+        pairs = asked.join(pairs, "__seen").join(counts.select("barcode", "abundance"), "barcode", "left")
         at = F.sequence(F.lit(1), F.lit(length))
         phred = lambda i: clamped_quality(F.substring(F.col("__q"), i, F.lit(1)))
         changed = F.filter(at, lambda i: F.substring(F.col("__seen"), i, F.lit(1)) != F.substring(F.col("barcode"), i, F.lit(1)))
         q = F.aggregate(changed, F.lit(0), lambda s, i: s + phred(i))
         weighed = pairs.withColumn("__w", F.pow(F.lit(10.0), -q / 10.0) * F.coalesce("abundance", F.lit(0)))
-        best = weighed.groupBy(key).agg(F.max(F.struct("__w")).alias("__top"), F.sum("__w").alias("__sum"), F.count("*").alias("__k"), F.min(F.struct((-F.col("__w")).alias("w"), "barcode")).alias("__best"))
-        found = best.filter((F.col("__k") == 1) | (F.col("__top.__w") > probability * F.col("__sum"))).select(key, F.col("__best.barcode").alias("__fixed"))
-    joined = rows.join(found, key, "left") if found is not None else rows.withColumn("__fixed", F.lit(None).cast("string"))
+        best = weighed.groupBy("__seen", "__q").agg(F.max(F.struct("__w")).alias("__top"), F.sum("__w").alias("__sum"), F.count("*").alias("__k"), F.min(F.struct((-F.col("__w")).alias("w"), "barcode")).alias("__best"))
+        found = best.filter((F.col("__k") == 1) | (F.col("__top.__w") > probability * F.col("__sum"))).select("__seen", "__q", F.col("__best.barcode").alias("__fixed"))
+    joined = rows.join(found, (F.col(barcode) == F.col("__seen")) & (F.coalesce(quality, F.lit("")) == F.col("__q")), "left") if found is not None else rows.withColumn("__fixed", F.lit(None).cast("string"))
     return joined.select(
         *[F.col(f"`{c}`") for c in observed.columns],
         F.when(exact, F.col(barcode)).otherwise(F.col("__fixed")).alias("corrected"),

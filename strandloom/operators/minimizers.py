@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.batches import within
 from strandloom.params import IndexParams
+from strandloom.storage import cut
 
 #: Bases per piece of a reference sequence when it is indexed.
 PIECE = 1 << 20
@@ -178,6 +179,7 @@ def build_index(references: DataFrame, params: IndexParams) -> DataFrame:
     columns = ["hash", "rid", "pos", "strand"]
     parts = pieces(references.filter(F.length("seq") > PIECE), params)
     found = minimizers(parts, ["rid"], params, "piece", "start").select(*columns).distinct().unionByName(minimizers(references.filter(F.length("seq") <= PIECE).select("rid", "seq"), ["rid"], params).select(*columns))
+    found = cut(found)  # counted and given out
     return found.join(found.groupBy("hash").agg(F.count("*").alias("freq")), "hash")
 
 

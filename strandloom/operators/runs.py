@@ -8,18 +8,21 @@ input partition, united by (entity, shard), and read out as set runs and clear r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.batches import codes
+from strandloom.batches import codes, whole_groups
 
 #: Units of one bitmap shard; a run's bounds then fit 17 bits.
 SHARD = 1 << 16
+#: Shards of an entity that are put in order together.
+STRETCH = 1 << 10
 #: Buffered runs after which a task unites what it holds.
 FLUSH = 1 << 20
 
@@ -82,7 +85,7 @@ def run_bitmaps(intervals: DataFrame, entity: list[str], start: str, end: str) -
     of their own. Other columns are ignored. Repeated rows change nothing. An empty input gives
     no rows. Each task first unites the rows of its own input partition, so what is shuffled is
     at most SHARD / 2 runs per shard and task, however many intervals a hot shard has; the final
-    union holds a shard's united runs, never its intervals.
+    union holds some whole shards' united runs at a time, never their intervals.
     """
     keys = [*entity, "__shard"]
     cut_at = F.lit(SHARD)
@@ -109,17 +112,14 @@ def run_bitmaps(intervals: DataFrame, entity: list[str], start: str, end: str) -
             yield from _packed(t, keys, schema)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, schema = _Runs(keys), None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            schema = schema or _schema(t.select(keys).schema)
+        for t in whole_groups(batches, keys):
+            runs = _Runs(keys)
             lo, hi = t["run_lo"].combine_chunks(), t["run_hi"].combine_chunks()
             of = pa.array(np.repeat(np.arange(len(t)), np.diff(lo.offsets.to_numpy())))
             runs.add(t.select(keys).take(of), pa.chunked_array([lo.flatten()]).cast(pa.int64()), pa.chunked_array([hi.flatten()]).cast(pa.int64()))
-        if (t := runs.flush()) is not None:
-            yield from _packed(t, keys, schema)
+            yield from _packed(runs.flush(), keys, _schema(t.select(keys).schema))
 
-    return rows.mapInArrow(encode, out).repartition(*keys).mapInArrow(unite, out).withColumnRenamed("__shard", "shard")
+    return rows.mapInArrow(encode, out).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(unite, out).withColumnRenamed("__shard", "shard")
 
 
 def _schema(keys: pa.Schema) -> pa.Schema:
@@ -127,21 +127,33 @@ def _schema(keys: pa.Schema) -> pa.Schema:
     return pa.schema([*keys, pa.field("run_lo", ints), pa.field("run_hi", ints)])
 
 
+def _equal(left: str, right: str, keys: list[str]) -> Column:
+    """Null-safe equality of two aliased tables' keys."""
+    return reduce(Column.__and__, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
+
+
 def _set_runs(bitmaps: DataFrame, entity: list[str]) -> DataFrame:
-    """``entity..., before, a, b``: every run in absolute units, with the end of the covered
-    part before it (null for an entity's first run)."""
+    """``entity..., stretch, before, a, b``: every run in absolute units, with the end of the covered
+    part before it (null for an entity's first run).
+
+    Shards are looked at in stretches of STRETCH; from one stretch to the next only its last end
+    is handed on, so neither an entity's runs nor its shards meet in one task.
+    """
     at = F.col("shard") * SHARD
-    over = W.partitionBy(*entity).orderBy("shard")
+    rows = bitmaps.withColumn("stretch", F.floor(F.col("shard") / STRETCH))
+    ends = rows.groupBy(*entity, "stretch").agg(F.max(at + F.element_at("run_hi", -1)).alias("__end"))
+    ends = ends.select(*entity, "stretch", F.lag("__end").over(W.partitionBy(*entity).orderBy("stretch")).alias("__earlier"))
+    inside = rows.withColumn("__last", F.lag(at + F.element_at("run_hi", -1)).over(W.partitionBy(*entity, "stretch").orderBy("shard")))
+    joined = inside.alias("r").join(ends.alias("e"), _equal("r", "e", [*entity, "stretch"]), "left")
     return (
-        bitmaps.withColumn("__last", F.lag(at + F.element_at("run_hi", -1)).over(over))
-        .select(*entity, at.alias("__at"), "__last", "run_hi", F.posexplode("run_lo").alias("__i", "__lo"))
+        joined.select(*(F.col(f"r.{k}") for k in [*entity, "stretch"]), at.alias("__at"), F.coalesce("__last", "__earlier").alias("__last"), "run_hi", F.posexplode("run_lo").alias("__i", "__lo"))
         .select(
-            *entity,
+            *entity, "stretch",
             F.when(F.col("__i") == 0, F.col("__last")).otherwise(F.col("__at") + F.get("run_hi", F.col("__i") - 1)).alias("before"),
             (F.col("__at") + F.col("__lo")).alias("a"),
             (F.col("__at") + F.get("run_hi", F.col("__i"))).alias("b"),
         )
-    )
+    )
 
 
 def gaps(bitmaps: DataFrame, entity: list[str]) -> DataFrame:
@@ -151,13 +163,12 @@ def gaps(bitmaps: DataFrame, entity: list[str]) -> DataFrame:
 
 def periods(bitmaps: DataFrame, entity: list[str]) -> DataFrame:
     """``entity..., period_start, period_end``: the continuous covered stretches; runs that meet
-    at a shard's edge are one stretch."""
-    runs = _set_runs(bitmaps, entity)
+    at a shard's edge are one stretch. A period ends where the covered part before the next one
+    does; the next one is looked for within the stretch first."""
+    starts = _set_runs(bitmaps, entity).filter("before IS NULL OR before < a")
+    starts = starts.withColumn("__next", F.lead("before").over(W.partitionBy(*entity, "stretch").orderBy("a")))
+    by = starts.groupBy(*entity, "stretch").agg(F.min(F.struct("a", "before")).alias("__first"))
+    later = by.select(*entity, "stretch", F.lead("__first.before").over(W.partitionBy(*entity).orderBy("stretch")).alias("__later"))
     last = bitmaps.groupBy(*entity).agg(F.max(F.col("shard") * SHARD + F.element_at("run_hi", -1)).alias("__end"))
-    over = W.partitionBy(*entity).orderBy("a")
-    starts = runs.filter("before IS NULL OR before < a").withColumn("__next", F.lead("before").over(over))
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"l.{k}")) for k in entity]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return starts.alias("s").join(last.alias("l"), on).select(*[F.col(f"s.{k}") for k in entity], F.col("s.a").alias("period_start"), F.coalesce("s.__next", "l.__end").alias("period_end"))
+    joined = starts.alias("s").join(later.alias("n"), _equal("s", "n", [*entity, "stretch"])).join(last.alias("l"), _equal("s", "l", entity))
+    return joined.select(*[F.col(f"s.{k}") for k in entity], F.col("s.a").alias("period_start"), F.coalesce("s.__next", "n.__later", "l.__end").alias("period_end"))

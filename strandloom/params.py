@@ -43,6 +43,7 @@ class MapParams:
     drop_repetitive_reads: int = 500_000
     match: int = 1
     mismatch: int = 4
+    #: of deletions from the read, and of insertions into it
     gap_open: tuple[int, int] = (6, 6)
     gap_extend: tuple[int, int] = (1, 1)
     trim_adapters: bool = False
@@ -59,13 +60,10 @@ class MapParams:
     allocation_distance: int = 0
     seed: int = 11
     cache_size: int = 4_000_003
-    cache_update: float = 0.01
     minhash_size: int = 250
     frip_coefficients: tuple[float, ...] = FRIP_COEFFICIENTS
     count_cache_slots: bool = True
     output_format: str = "BED"
-    bin_size: int = 5000
-    depth_cutoff: int = 3
     read_format: str = ""
 
     def __post_init__(self) -> None:

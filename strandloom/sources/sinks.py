@@ -17,18 +17,19 @@ def write_lines(df: DataFrame, path: str, order: list[str | Column] | None = Non
     (rows.coalesce(1) if single else rows).write.text(path)
 
 
-def write_with_header(header: DataFrame, body: DataFrame, path: str, order: list[str], single: bool = True) -> None:
-    """Header rows (``rank, line``) before body rows (``line`` and the order columns)."""
+def write_with_header(header: DataFrame, body: DataFrame, path: str, order: list[str], single: bool = False) -> None:
+    """Header rows (``rank, line``) before body rows (``line`` and the order columns), in the parts of
+    one global order: the first part begins with the header."""
     top = header.select(F.lit(0).alias("__part"), F.col("rank").cast("long").alias("__rank"), *(F.lit(None).cast(body.schema[c].dataType).alias(c) for c in order), "line")
     rest = body.select(F.lit(1).alias("__part"), F.lit(0).cast("long").alias("__rank"), *order, "line")
     write_lines(top.unionByName(rest), path, ["__part", "__rank", *order], single)
 
 
-def write_sam(body: DataFrame, ref_seqs: DataFrame, path: str, order: list[str], single: bool = True) -> None:
+def write_sam(body: DataFrame, ref_seqs: DataFrame, path: str, order: list[str], single: bool = False) -> None:
     write_with_header(lines.sam_header(ref_seqs), body, path, order, single)
 
 
-def write_pairs(body: DataFrame, ref_seqs: DataFrame, path: str, order: list[str], single: bool = True) -> None:
+def write_pairs(body: DataFrame, ref_seqs: DataFrame, path: str, order: list[str], single: bool = False) -> None:
     write_with_header(lines.pairs_header(ref_seqs), body, path, order, single)
 
 
@@ -48,9 +49,9 @@ def write_matrix(counts: DataFrame, cells: DataFrame, features: DataFrame, path:
     text = F.concat_ws(" ", "f", "c", "n")
     head = size.select(F.lit(0).cast("long").alias("rank"), F.lit("%%MatrixMarket matrix coordinate integer general").alias("line")).unionByName(size.select(F.lit(1).cast("long").alias("rank"), text.alias("line")))
     body = counts.select("cell_id", "feature_id", F.concat_ws(" ", F.col("feature_id") + 1, F.col("cell_id") + 1, "n").alias("line"))
-    write_with_header(head, body, f"{path}/matrix", ["cell_id", "feature_id"], single=True)
-    write_lines(features, f"{path}/features", ["feature_id"], single=True)
-    write_lines(cells.withColumn("line", F.col("barcode")), f"{path}/barcodes", ["cell_id"], single=True)
+    write_with_header(head, body, f"{path}/matrix", ["cell_id", "feature_id"])
+    write_lines(features, f"{path}/features", ["feature_id"])
+    write_lines(cells.withColumn("line", F.col("barcode")), f"{path}/barcodes", ["cell_id"])
 
 
 def bin_lines(ref_seqs: DataFrame, width: int = 5000) -> DataFrame:

@@ -41,6 +41,25 @@ def test_pileup_and_peaks_across_stretches(spark):
     assert overlap.pileup(spark.createDataFrame([], "s string, a long, b long"), ["s"]).count() == 0
 
 
+def test_peaks_equal_those_of_one_pass(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("s", a, a + rng.choice([40, 3000, 300000])) for a in (rng.randrange(0, 3_000_000) for _ in range(400))] + [(None, 1, 9), ("u", 262143, 262145), ("u", 262144, 600000)]
+    depth = overlap.pileup(spark.createDataFrame(rows, "s string, a long, b long"), ["s"])
+    for cutoff in (1, 2, 30):
+        want = []
+        for r in sorted(depth.collect(), key=lambda r: (str(r["s"]), r["seg_start"])):
+            if r["depth"] < cutoff:
+                continue
+            if want and want[-1][0] == r["s"] and want[-1][2] == r["seg_start"]:
+                want[-1] = (r["s"], want[-1][1], r["seg_end"], max(want[-1][3], r["depth"]))
+            else:
+                want.append((r["s"], r["seg_start"], r["seg_end"], r["depth"]))
+        got = sorted((tuple(r) for r in overlap.call_peaks(depth, ["s"], cutoff).collect()), key=lambda r: (str(r[0]), r[1]))
+        assert got == want
+
+
 def test_summary_of_unlisted_and_empty(spark):
     df = spark.createDataFrame([("A", True, False, True, True), (None, True, True, True, True), ("A", None, None, None, None)], "bc string, mapped boolean, duplicate boolean, lowmapq boolean, cachehit boolean")
     got = {r["barcode"]: tuple(r)[1:] for r in summary.summarise(df, "bc").collect()}

@@ -55,6 +55,13 @@ def test_repeated_flushes(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_stretches_of_few_shards_hand_on_their_ends(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(runs, "STRETCH", 2)
+    rows = [("x", s, 0, a, a + rng.choice([5, 70000, 400000]), "z", "z") for s in ("s", None) for a in (rng.randrange(0, 5_000_000) for _ in range(40))]
+    check(spark, rows + [("y", "s", 0, 10, 20, "z", "z"), ("y", "s", 0, 4_000_000, 4_000_001, "z", "z"), ("y", "s", 0, 131071, 131073, "z", "z")])
+
+
 def test_units_of_one_base():
     import numpy as np
 
