@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.batches import codes
+from strandloom.batches import codes, whole_groups
 from strandloom.storage import cut
 
 #: Positions per tile of the start axis; a tile and key are one unit of work.
@@ -126,7 +126,8 @@ def crowded_points(points: DataFrame, reach: int) -> DataFrame:
     tiles are united by following first_id and root as edges.
 
     Every input task merges equal points before the shuffle, so a point with a third of all
-    rows arrives as one row per task; work is spread by h and TILE positions of x.
+    rows arrives as one row per task; work is spread by h and TILE positions of x, and a task
+    holds some whole tiles at a time.
     """
 
     def merged(t: pa.Table) -> pa.Table:
@@ -150,10 +151,10 @@ def crowded_points(points: DataFrame, reach: int) -> DataFrame:
             yield from merged(pa.concat_tables(held)).to_batches(max_chunksize=1 << 16)
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [pa.Table.from_batches([b]) for b in batches]
-        if not held:
-            return
-        t = pa.concat_tables(held)
+        for t in whole_groups(batches, ["h", "tile"]):
+            yield from clustered(t)
+
+    def clustered(t: pa.Table) -> Iterator[pa.RecordBatch]:
         code, tiles = codes(t.select(["h", "tile"]))
         t = merged(t.select(["x", "y", "id", "n"]).append_column("h", pa.chunked_array([pa.array(code)])))
         code, x, y, i, n = (t[c].to_numpy() for c in ("h", "x", "y", "id", "n"))
@@ -171,4 +172,4 @@ def crowded_points(points: DataFrame, reach: int) -> DataFrame:
     here = F.floor(F.col("x") / TILE)
     tiles = F.explode(F.when(F.pmod("x", F.lit(TILE)) >= TILE - reach, F.array(here, here + 1)).otherwise(F.array(here)))
     spread = points.select("h", "x", "y", "id", F.lit(1).cast("long").alias("n")).mapInArrow(shrink, kind).withColumn("tile", tiles)
-    return spread.repartition("h", "tile").mapInArrow(cluster, "h long, x long, y long, first_id long, n long, root long, own boolean")
+    return spread.repartition("h", "tile").sortWithinPartitions("h", "tile").mapInArrow(cluster, "h long, x long, y long, first_id long, n long, root long, own boolean")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.storage import likely_tasks
+
 DEPTH = 5
 WIDTH = 1 << 14
 #: Bits of a value's hash and of a step down the hierarchy of prefixes.
@@ -17,8 +19,6 @@ HASH_BITS, STEP = 48, 8
 LEVELS = HASH_BITS // STEP
 #: Standard errors of the sketch by which the search goes below the threshold.
 SLACK = 4.0
-#: Sketching tasks per core; with more input splits, a task takes several.
-TASKS_PER_CORE = 4
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -42,7 +42,8 @@ def _prefix(h: np.ndarray, level: int) -> np.ndarray:
 
 def sketch(hashes: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
     """Counters [level, row, bucket] of a column ``h`` of hashes, and the number of rows:
-    LEVELS x DEPTH x width numbers, whatever the rows. Tasks' counters are added by Spark."""
+    LEVELS x DEPTH x width numbers, whatever the rows. Tasks' counters are added in two steps,
+    about the root of the tasks' number at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((LEVELS, DEPTH, width), np.int64)
@@ -68,9 +69,8 @@ def sketch(hashes: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "counters"])
 
     kind = "at int, counters binary"
-    cores = hashes.sparkSession.sparkContext.defaultParallelism
-    parts = hashes.coalesce(TASKS_PER_CORE * cores).mapInArrow(count, kind)
-    salt = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(TASKS_PER_CORE * cores))))
+    parts = hashes.mapInArrow(count, kind)
+    salt = F.pmod(F.spark_partition_id(), F.lit(max(2, math.isqrt(likely_tasks(hashes)))))
     some = parts.select((F.col("at") + 1000 * salt).cast("int").alias("at"), "counters").groupBy("at").applyInArrow(add, kind)
     whole = some.select((F.col("at") % 1000).alias("at"), "counters").groupBy("at").applyInArrow(add, kind)
     out = np.zeros((LEVELS * DEPTH + 1, width), np.int64)

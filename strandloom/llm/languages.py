@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 
 from strandloom.storage import spread
 
-#: Buckets of hashed letter trigrams; centroids per language.
-BUCKETS, CENTROIDS = 4096, 3
+#: Buckets of hashed letter n-grams; their lengths; weight of a word's script among them; centroids
+#: per language.
+BUCKETS, LENGTHS, SCRIPT, CENTROIDS = 4096, (1, 2, 3), 2, 3
 #: Labelled documents per language, paragraphs per document and characters per paragraph that
 #: train the centroids; they bound what the driver gathers.
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, SAMPLE_CHARACTERS = 80, 10, 4000
 #: Least share of a language's paragraphs in a cluster; a smaller one holds strays.
 LEAST_CLUSTER = 0.02
-#: A paragraph is rejected below this share of its centroid's own least typical member's cosine.
-REJECT = 0.6
+#: Cosines are taken as shares of what TYPICAL of a language's training paragraphs exceed. A
+#: paragraph is rejected if that share times its lead over the next language (at most MOST_LEAD)
+#: is below REJECT, or if it leads by less than LEAD with a share below SURE.
+TYPICAL, REJECT, MOST_LEAD, LEAD, SURE = 0.95, 0.515, 1.5, 1.055, 0.54
 #: Scale of cosines in the confidence.
 SHARPNESS = 25.0
 #: Sentences from which a paragraph can give its document a language.
@@ -42,11 +45,12 @@ NAMES = {
     "zh": "zh zho chi chinese mandarin",
 }
 
-_COMMENT = re.compile(r"(?<!\\)%.*\n?")
-_SKIPPED = re.compile(
-    r"\\begin\{(comment|figure|table|tabular|equation|align|gather|multline|eqnarray|displaymath|math|verbatim|lstlisting|thebibliography)(\*?)\}.*?(?:\\end\{\1\2\}|\Z)", re.DOTALL
-)
-_MATH = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!\\)\$[^$]*\$", re.DOTALL)
+_COMMENT = re.compile(r"(?<!\\)%.*(?:\n(?![^\S\n]*\n))?")
+_SKIPPED_NAMES = r"(comment|figure|table|tabular|equation|align|gather|multline|eqnarray|displaymath|math|verbatim|lstlisting|thebibliography)(\*?)"
+_SKIPPED = re.compile(rf"\\begin\{{{_SKIPPED_NAMES}\}}(?:(?!\\begin\{{\1\2\}}).)*?\\end\{{\1\2\}}", re.DOTALL)
+_UNCLOSED = re.compile(rf"\\begin\{{{_SKIPPED_NAMES}\}}.*?(?=\n\s*\n|\Z)", re.DOTALL)
+_LINE = r"\n(?![^\S\n]*\n)"  # a line break that does not end the paragraph
+_MATH = re.compile(rf"\$\$(?:[^$\n]|{_LINE})*\$\$|\\\[(?:[^\\\n]|\\(?!\])|{_LINE})*\\\]|\\\((?:[^\\\n]|\\(?!\))|{_LINE})*\\\)|(?<!\\)\$(?:[^$\n]|{_LINE})*\$")
 _HEAD = re.compile(r"\\(?:(?:sub)*section|paragraph|chapter|part|title|author|date|caption)\*?\s*(?:\[[^\]]*\])?\{(?:[^{}]|\{[^{}]*\})*\}")
 _POINTER = re.compile(r"~?\\(?:label|cite[tp]?|ref|eqref|input|include|includegraphics|bibliography|bibliographystyle|usepackage|foreignlanguage|selectlanguage)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
 _ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?")
@@ -65,14 +69,15 @@ def _accented(m: re.Match) -> str:
 
 def running_paragraphs(source: str) -> list[str]:
     """Paragraphs of the abstract, sections and quotations of an article's source, without
-    comments, floats, formulas, headings, bibliography and markup; accent commands are letters."""
+    comments, floats, formulas, headings, bibliography and markup; accent commands are letters. A
+    float or formula without its end goes as far as its paragraph."""
     if (a := source.find("\\begin{document}")) >= 0:
         b = source.find("\\end{document}", a)
         source = source[a + 16 : b if b >= 0 else len(source)]
     if "%" in source:
         source = _COMMENT.sub("", source)
     if "\\" in source:
-        text = _MATH.sub(" ", _SKIPPED.sub(" ", source))
+        text = _MATH.sub(" ", _UNCLOSED.sub(" ", _SKIPPED.sub(" ", source)))
         text = _ENVIRONMENT.sub("\n\n", _HEAD.sub("\n\n", _POINTER.sub("", text)))
         text = _ACCENT.sub(_accented, text.replace("\\ss", "ß"))
         source = _COMMAND.sub(" ", text)
@@ -81,8 +86,21 @@ def running_paragraphs(source: str) -> list[str]:
     return [p for p in _BREAK.split(source) if p.strip()]
 
 
+def _script(letter: str) -> str:
+    """Writing of a word's first letter: ideographs, kana, or the alphabet by its block."""
+    o = ord(letter)
+    return "ideograph" if 0x4E00 <= o <= 0x9FFF else "kana" if 0x3040 <= o <= 0x30FF else "latin" if o < 0x250 else f"block {o >> 8}"
+
+
+def word_grams(word: str) -> list[str]:
+    """n-grams of a word between marks, with their lengths, and its script SCRIPT times."""
+    padded = f"_{word}_"
+    grams = [f"{n}{padded[i : i + n]}" for n in LENGTHS for i in range(len(padded) - n + 1)]
+    return [g for g in grams if g != "1_"] + [_script(word[0])] * SCRIPT
+
+
 class Grams:
-    """Words as sorted numbers of hashed trigrams, remembered per task."""
+    """Words as numbers of hashed n-grams, remembered per task."""
 
     def __init__(self, most: int = 1 << 20):
         self.most = most
@@ -96,12 +114,11 @@ class Grams:
         n = self.number.get(word)
         if n is None:
             n = self.number[word] = len(self.features)
-            padded = f"_{word}_".encode("utf-32-le")
-            self.features.append(np.array([zlib.crc32(padded[i : i + 12]) % BUCKETS for i in range(0, len(padded) - 8, 4)], np.int32))
+            self.features.append(np.array([zlib.crc32(g.encode()) % BUCKETS for g in word_grams(word)], np.int32))
         return n
 
     def counts(self, paragraphs: list[str]) -> np.ndarray:
-        """Trigram counts, one row per paragraph."""
+        """Square roots of n-gram counts, one row per paragraph."""
         if len(self.features) > self.most:
             self.clear()
         words = [_TOKEN.findall(p.lower()) for p in paragraphs]
@@ -117,7 +134,7 @@ class Grams:
         each = lengths[at]
         k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         cell = np.repeat(of * BUCKETS, each) + flat[np.repeat(start[at], each) + k]
-        return np.bincount(cell, minlength=len(paragraphs) * BUCKETS).reshape(len(paragraphs), BUCKETS).astype(np.float32)
+        return np.sqrt(np.bincount(cell, minlength=len(paragraphs) * BUCKETS).reshape(len(paragraphs), BUCKETS).astype(np.float32))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -126,23 +143,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages' centroids; least is the cosine below which a centroid's paragraph is rejected."""
+    """Languages' centroids; typical is the cosine that TYPICAL of a language's paragraphs exceed."""
 
     idf: np.ndarray
     centroids: np.ndarray
     of: np.ndarray
-    least: np.ndarray
+    typical: np.ndarray
     languages: list[str]
 
     def classify(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language number (-1 if rejected) and confidence of each row of counts."""
-        if not len(self.languages):
+        """Language number (-1 if rejected) and confidence of each row of counts.
+
+        Distance rejects relative to how near the language's own paragraphs are: a text on topics
+        unknown to the training is less typical than those, yet far nearer to its language than to
+        the others; one in a language of none of the centroids lies between two or far from all.
+        """
+        n = len(self.languages)
+        if not n:
             return np.full(len(counts), -1), np.zeros(len(counts))
         score = _unit(counts * self.idf) @ self.centroids.T
-        best = np.stack([score[:, self.of == i].max(axis=1) for i in range(len(self.languages))], axis=1)
-        top = score.argmax(axis=1)
-        lang = np.where(score[np.arange(len(score)), top] >= self.least[top], self.of[top], -1)
-        e = np.exp(SHARPNESS * (best - best.max(axis=1, keepdims=True)))
+        best = np.stack([score[:, self.of == i].max(axis=1) for i in range(n)], axis=1)
+        order = np.argsort(best, axis=1)
+        top = order[:, -1]
+        first = best[np.arange(len(best)), top]
+        second = best[np.arange(len(best)), order[:, -2]] if n > 1 else np.zeros(len(best))
+        share = first / np.maximum(self.typical[top], 1e-9)
+        lead = first / np.maximum(second, 1e-9)
+        lang = np.where((share * np.minimum(lead, MOST_LEAD) >= REJECT) & ((share >= SURE) | (lead >= LEAD)), top, -1)
+        e = np.exp(SHARPNESS * (best - first[:, None]))
         return lang, np.where(lang >= 0, 1 / e.sum(axis=1), 0.0)
 
 
@@ -161,7 +189,7 @@ def train(counts: np.ndarray, labels: list[str]) -> Model:
         means = np.stack([_unit(x[keep & (y == i)].sum(axis=0)) for i in range(len(names))]) if names else np.zeros((0, BUCKETS))
         if names:
             keep = counts.any(axis=1) & ((x @ means.T).argmax(axis=1) == y)
-    centroids, of, least = [], [], []
+    centroids, of, typical, known = [], [], [], []
     for i in range(len(names)):
         own = x[keep & (y == i)]
         if not len(own):
@@ -174,12 +202,12 @@ def train(counts: np.ndarray, labels: list[str]) -> Model:
             c = np.stack([_unit(own[near == k].sum(axis=0)) if (near == k).any() else c[k] for k in range(len(c))])
         cosine = own @ c.T
         near = cosine.argmax(axis=1)
-        for k in range(len(c)):
-            if (near == k).any() and (near == k).mean() >= LEAST_CLUSTER:
-                centroids.append(c[k])
-                of.append(i)
-                least.append(REJECT * cosine[near == k, k].min())
-    return Model(idf, np.array(centroids, np.float32).reshape(-1, BUCKETS), np.array(of, np.int64), np.array(least), names)
+        large = [k for k in range(len(c)) if (near == k).mean() >= LEAST_CLUSTER]
+        centroids += [c[k] for k in large]
+        of += [len(known)] * len(large)
+        typical.append(np.quantile(cosine[:, large].max(axis=1), 1 - TYPICAL))
+        known.append(names[i])
+    return Model(idf, np.array(centroids, np.float32).reshape(-1, BUCKETS), np.array(of, np.int64), np.array(typical), known)
 
 
 def label_language(label: Column) -> Column:

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.storage import cut, spread
+from strandloom.storage import broadcast_if, cut, spread
 
 CAPACITY = 4096
-#: Parts in which the documents of one length are ranked, so that a hot length is no hot task.
-PARTS = 64
+#: Pieces of one length that are ranked together; a hot length has as many parts as it needs.
+PART_ROWS = 1 << 17
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public byte-level vocabulary's splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -109,9 +109,11 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length, so the result depends on the data alone. Repeated doc_ids are packed each by
     itself. Other columns are ignored.
 
-    The driver sees the length histogram only (capacity x PARTS rows at most); patterns go back
-    to the pieces by a broadcast of one row per length and the rank among equal lengths, which
-    is counted within PARTS parts and shifted by the parts' sizes.
+    The driver sees the length histogram and the sizes of the parts: capacity + pieces / PART_ROWS
+    rows at most. Patterns go back to the pieces by one row per part, which holds the patterns of
+    its ranks only: the rank among equal lengths is counted within a part of about PART_ROWS
+    pieces and shifted by the parts before. The placement is written to the shared folder, so that
+    nothing asked of it is worked out without it.
     """
     spark = counts.sparkSession
     full = F.floor((F.col("n_tokens") - 1) / capacity)
@@ -119,18 +121,32 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts.filter("n_tokens > 0")
         .select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), full)).alias("piece"))
         .select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.col("n_tokens") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("size"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
     )
-    seen: dict[int, list[int]] = defaultdict(lambda: [0] * PARTS)
+    histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
+    parts = [(size, max(1, -(-n // PART_ROWS))) for size, n in histogram.items()]
+    parts_of = spark.createDataFrame(parts, "size int, n_parts int")
+    pieces = pieces.join(F.broadcast(parts_of), "size").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("n_parts")).cast("int")).drop("n_parts")
+    seen: dict[int, dict[int, int]] = defaultdict(dict)
     for r in pieces.groupBy("size", "part").count().collect():
         seen[r["size"]][r["part"]] = r["count"]
-    slots = _slots(pack_lengths({size: sum(parts) for size, parts in seen.items()}, capacity))
-    rows = [(size, [sum(parts[:i]) for i in range(PARTS)], slots[size]) for size, parts in seen.items()]
-    plan = spark.createDataFrame(rows, "size int, ahead array<long>, slots array<struct<first: long, end: long, base: long, each: long>>")
+    slots = _slots(pack_lengths(histogram, capacity))
+    rows = []
+    for size, of in seen.items():
+        ahead, k = 0, 0
+        for part in sorted(of):
+            end = ahead + of[part]
+            while slots[size][k][1] <= ahead:
+                k += 1
+            j = k
+            while j < len(slots[size]) and slots[size][j][0] < end:
+                j += 1
+            rows.append((size, part, ahead, slots[size][k:j]))
+            ahead = end
+    plan = spark.createDataFrame(rows, "size int, part int, ahead long, slots array<struct<first: long, end: long, base: long, each: long>>")
     rank = F.row_number().over(W.partitionBy("size", "part").orderBy("doc_id", "piece")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(plan), "size").withColumn("rank", F.col("rank") + F.get("ahead", "part"))
+    ranked = pieces.withColumn("rank", rank).join(broadcast_if(plan, sum(len(r[3]) for r in rows), 64), ["size", "part"]).withColumn("rank", F.col("rank") + F.col("ahead"))
     slot = F.get(F.filter("slots", lambda s: (s.first <= F.col("rank")) & (F.col("rank") < s.end)), 0)
-    return ranked.withColumn("slot", slot).select(
+    return cut(ranked.withColumn("slot", slot).select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.col("size").alias("n_tokens"),
         (F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.first")) / F.col("slot.each"))).alias("container_id"),
-    )
+    ))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.batches import codes, within
+from strandloom.batches import codes, whole_groups, within
 from strandloom.storage import likely_tasks
 
 #: Values a level holds before it is sorted and halved.
@@ -21,8 +21,6 @@ K = 512
 DELTA = 1e-3
 #: Values buffered by a task between compactions.
 FLUSH = 1 << 20
-#: Partial sketches that one task may meet of one group; beyond, a salted merge comes first.
-FAN_IN = 2048
 
 
 def compact(code: np.ndarray, level: np.ndarray, value: np.ndarray, k: int, rng: np.random.Generator):
@@ -138,25 +136,45 @@ def _arrow(keys: pa.Schema, fields: list[str]) -> pa.Schema:
     return pa.schema([*keys, *(pa.field(f"{f}_{name}", pa.list_(pa.field("element", kind, False))) for f in fields for name, kind in kinds)])
 
 
-def _merged(parts: DataFrame, keys: list[str], fields: list[str], schema: T.StructType, k: int, seed: int, step: int) -> DataFrame:
+def _parts(t: pa.Table, fields: list[str]) -> tuple[dict, dict]:
+    """Items and compactions of a table of sketches, as _Hierarchies takes them."""
+    items, done = {}, {}
+    for f in fields:
+        row, value = _flat(t[f"{f}_values"])
+        items[f] = (row, _flat(t[f"{f}_levels"])[1], value)
+        row, level = _flat(t[f"{f}_halved_levels"])
+        done[f] = (row, level, _flat(t[f"{f}_halved"])[1])
+    return items, done
+
+
+def _merged_here(parts: DataFrame, keys: list[str], fields: list[str], schema: T.StructType, k: int, seed: int) -> DataFrame:
+    """The sketches of every task united as they come, in any order."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = _Hierarchies(fields, k, seed, step), None
+        held, out = _Hierarchies(fields, k, seed, 1), None
         for b in batches:
             t = pa.Table.from_batches([b])
             out = out or _arrow(t.select(keys).schema, fields)
-            items, done = {}, {}
-            for f in fields:
-                row, value = _flat(t[f"{f}_values"])
-                items[f] = (row, _flat(t[f"{f}_levels"])[1], value)
-                row, level = _flat(t[f"{f}_halved_levels"])
-                done[f] = (row, level, _flat(t[f"{f}_halved"])[1])
-            held.add(t.select(keys), items, done)
+            held.add(t.select(keys), *_parts(t, fields))
         if out is not None:
             yield from held.rows(out)
 
     return parts.mapInArrow(merge, schema)
 
 
+def _merged(parts: DataFrame, by: list[str], keys: list[str], fields: list[str], schema: T.StructType, k: int, seed: int, step: int) -> DataFrame:
+    """The sketches of each group brought together and united; a task holds some whole groups at a
+    time, not all of its partition's."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, by):
+            held = _Hierarchies(fields, k, seed, step)
+            held.add(t.select(keys), *_parts(t, fields))
+            yield from held.rows(_arrow(t.select(keys).schema, fields))
+
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, schema)
+
+
 def sketch(df: DataFrame, keys: list[str], fields: list[str], k: int = K, seed: int = 11) -> DataFrame:
     """One row per group: the compactor hierarchy of each numeric field.
 
@@ -194,16 +212,16 @@ def merge(sketches: DataFrame, keys: list[str], fields: list[str], k: int = K, s
     one per task.
     """
     parts = sketches.select(*keys, *(f"{f}_{x}" for f in fields for x in ("values", "levels", "halved_levels", "halved")))
-    return _united(_merged(parts, keys, fields, _schema([parts.schema[c] for c in keys], fields), k, seed, 1), keys, fields, k, seed)
+    return _united(_merged_here(parts, keys, fields, _schema([parts.schema[c] for c in keys], fields), k, seed), keys, fields, k, seed)
 
 
 def _united(parts: DataFrame, keys: list[str], fields: list[str], k: int, seed: int) -> DataFrame:
-    """The sketches of all tasks by group; beyond FAN_IN tasks, a salted step comes first."""
+    """The sketches of all tasks by group, in two steps: about the root of the tasks' number is
+    united at a time, so that a group that every task has is no one task's work."""
     schema = _schema([parts.schema[c] for c in keys], fields)
-    if (n := likely_tasks(parts)) > FAN_IN:
-        salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(math.ceil(math.sqrt(n)))))
-        parts = _merged(salted.repartition(*keys, "__salt").drop("__salt"), keys, fields, schema, k, seed, 2)
-    return _merged(parts.repartition(*keys), keys, fields, schema, k, seed, 3)
+    salts = max(2, math.isqrt(likely_tasks(parts)))
+    salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return _merged(_merged(salted, [*keys, "__salt"], keys, fields, schema, k, seed, 2), keys, keys, fields, schema, k, seed, 3)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], fields: list[str], at: list[float], delta: float = DELTA) -> DataFrame:

@@ -53,13 +53,16 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
     rows = with_cell(spread(rows), whitelist)
     placed = F.col("library_id").isNotNull() & F.col("rid").isNotNull() & F.col("cell").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
     key = ["h", "x", "y"]
+    source = source_of(F.col("cell_barcode"), F.col("cell_listed"), F.col("mapped_at"), F.col("loaded_at"))
+    nulls = sum(F.col(c).isNull().cast("int") for c in ("cell_barcode", "start", "length", "mapq", "num_dups"))
     rows = rows.select(
-        "*",
+        "record_id", "read_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", (-nulls).alias("full"), F.col("cell_listed").cast("int").alias("listed"), source.alias("source"),
         F.when(placed, F.xxhash64("library_id", "rid", "cell")).otherwise(F.xxhash64("record_id")).alias("h"),
         F.when(placed, F.col("start")).otherwise(-1).cast("long").alias("x"),
         F.when(placed, F.col("start") + F.col("length")).otherwise(F.col("record_id")).cast("long").alias("y"),
         placed.alias("placed"),
-    )
+    )
+    rows = cut(rows)  # looked at four times
     crowded = cut(crowded_points(rows.filter("placed").select(*key, F.col("record_id").alias("id")), REACH))
     points = crowded.select(*key, "first_id").distinct()  # those near a tile's end may come from two tiles
     # records of reads that were delivered more than once, each linked to its read's first record
@@ -70,11 +73,7 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
     roots = components(edges)
     vertices = points.withColumnRenamed("first_id", "node").unionByName(again.filter("first_id IS NULL").select(*key, F.col("record_id").alias("node")))
     grouped = cut(vertices.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("g")))
-    nulls = sum(F.col(c).isNull().cast("int") for c in ("cell_barcode", "start", "length", "mapq", "num_dups"))
-    wanted = rows.select(
-        *key, "record_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", (-nulls).alias("full"), F.col("cell_listed").cast("int").alias("listed"),
-        source_of(F.col("cell_barcode"), F.col("cell_listed"), F.col("mapped_at"), F.col("loaded_at")).alias("source"),
-    )
+    wanted = rows.select(*key, "record_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", "full", "listed", "source")
     # the rank repeats columns, so it is put together behind the shuffle
     rank = F.struct("full", "listed", F.coalesce("mapq", F.lit(-1)).alias("mapq"), F.coalesce("num_dups", F.lit(-1)).alias("num_dups"), "mapped_at", (-F.col("record_id")).alias("id"))
     return wanted.join(grouped, key).select("g", "record_id", "cell", "start", "length", "mapq", "num_dups", "source", rank.alias("rank"))
@@ -156,7 +155,8 @@ def survivors(members: DataFrame) -> DataFrame:
     best_record_id is the record the surviving row is built on; the fused values replace or
     complete its fields. A field without any value is null with null confidence; ties go to the
     value with more records, then the greater text. Sources' accuracies and copying are
-    estimated from all groups. ``members`` is as from duplicate_members.
+    estimated from all groups. ``members`` is as from duplicate_members. The result is written to
+    the shared folder, so that nothing asked of it is worked out without the fusion.
     """
     members = cut(members)
     values = cut(claimed_values(members))
@@ -170,4 +170,4 @@ def survivors(members: DataFrame) -> DataFrame:
     columns = []
     for i, (name, _, kind) in enumerate(FIELDS):
         columns += [F.col(f"b{i}.value").cast(kind).alias(name), (F.exp(F.col(f"b{i}.vote")) / F.col(f"m{i}")).alias(f"{name}_confidence")]
-    return groups.join(fused, "g", "left").select(F.col("g").alias("first_record_id"), (-F.col("rank.id")).alias("best_record_id"), "n_records", *columns)
+    return cut(groups.join(fused, "g", "left").select(F.col("g").alias("first_record_id"), (-F.col("rank.id")).alias("best_record_id"), "n_records", *columns))

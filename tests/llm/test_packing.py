@@ -49,6 +49,15 @@ def test_documents_get_one_place_each(spark):
     assert again == {(r["doc_id"], r["piece"]): r["container_id"] for r in rows}
 
 
+def test_a_hot_length_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    df = spark.createDataFrame([(i, 60 if i % 3 else 500) for i in range(900)], "doc_id long, n_tokens long")
+    rows = packing.pack(df, 100).collect()
+    used = filled(rows, 100)
+    assert len(rows) == 600 + 300 * 5 and sum(used.values()) == 600 * 60 + 300 * 500
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) and len(used) == 600 + 300 * 5
+
+
 def test_little_unused_space_on_documents(spark, small):
     documents = spark.read.parquet(f"{small}/documents.parquet")
     rows = packing.pack(packing.token_counts(documents)).collect()

@@ -61,10 +61,28 @@ def test_repeats_empty_tables_and_very_long_texts(spark):
     assert verbatim(spark, [ITEMS[0][1]], [(1, None), (2, ""), (3, ITEMS[0][1])]) == {(0, 3)}
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MOST_ITEM_CHARS", 10)
-    with pytest.raises(ValueError, match="blocks"):
-        found(spark, ["x"])
+def test_items_asked_in_blocks_give_what_they_give_at_once(spark):
+    texts = [f"zqa {ITEMS[i][1]} zqb" for i in range(6)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame(ITEMS[:8], "item_id long, text string")
+    pairs = lambda **k: sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(d, q, **k).filter(leakage.verbatim()).collect())
+    assert pairs(block_chars=900) == pairs() == [(i, i) for i in range(6)]
+
+
+@pytest.mark.parametrize("size,least", [(20, 0.6), (22, 0.85), (25, 0.95), (30, 0.99)])
+def test_runs_of_about_twenty_words_with_one_changed(spark, size, least):
+    rng = random.Random(size)
+    noise = lambda n: " ".join("zq" + rng.choice(WORDS) for _ in range(n))
+    items = [(i, " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60))) for i in range(120)]
+    texts, whole = [], []
+    for _, text in items:
+        run = text.split()[12 : 12 + size]
+        whole.append(f"{noise(20)} {' '.join(run)} {noise(20)}")
+        run[rng.randrange(1, size - 1)] = "changed"
+        texts.append(f"{noise(20)} {' '.join(run)} {noise(20)}")
+    assert len(verbatim(spark, whole, items)) == len(items)
+    got = verbatim(spark, texts, items)
+    assert all(a == b for a, b in got) and len(got) >= least * len(items)
 
 
 LANGUAGES = {
