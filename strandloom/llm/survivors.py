@@ -19,14 +19,15 @@ REACH = 8
 FIELDS = [("cell_barcode", "cell", "string"), ("fragment_start_position", "start", "long"), ("fragment_length", "length", "int"), ("mapq", "mapq", "int"), ("num_dups", "num_dups", "int")]
 #: Sources are told apart by how the barcode is spelt (6 ways) and how late the record came (3).
 SPELLINGS, DELAYS = 6, 3
-SOURCES = SPELLINGS * DELAYS
+#: Sources that a set of sources can hold, which is a number's bits.
+MOST_SOURCES = 62
 #: Rounds of estimating accuracies and dependence; false values assumed per field; prior
 #: probability that two sources depend; share of its values a copier copies.
 ROUNDS, FALSE_VALUES, DEPENDENT, COPIED = 4, 10, 0.2, 0.8
 
 
 def source_of(barcode: Column, listed: Column, mapped_at: Column, loaded_at: Column) -> Column:
-    """Number 0..SOURCES - 1 of the source of a record."""
+    """Number 0..SPELLINGS * DELAYS - 1 of the source of a record."""
     spelling = (
         F.when(barcode.isNull(), 5).when(barcode != F.trim(barcode), 3).when(F.contains(barcode, F.lit("-")), 2).when(barcode != F.upper(barcode), 1).when(~listed, 4).otherwise(0)
     )
@@ -34,7 +35,7 @@ def source_of(barcode: Column, listed: Column, mapped_at: Column, loaded_at: Col
     return (spelling * DELAYS + F.when(late >= 3, 2).when(late >= 1, 1).otherwise(0)).cast("int")
 
 
-def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
+def duplicate_members(records: DataFrame, whitelist: DataFrame, source: Column | None = None) -> DataFrame:
     """One row per record of a group of two or more: ``g`` (the group's smallest record_id),
     ``record_id, cell, start, length, mapq, num_dups, source, rank``.
 
@@ -48,32 +49,43 @@ def duplicate_members(records: DataFrame, whitelist: DataFrame) -> DataFrame:
     A library, rid and cell enter as a 64-bit hash beside start and end: two fragments of other
     cells would have to share it and the position to be confused. Only points and reads with
     company become vertices; the rest never leaves the first pass.
+
+    ``source`` is a whole number 0..MOST_SOURCES - 1 that tells a record's source; without it
+    sources are told apart by source_of. A null or other number is an error.
     """
-    rows = records.select("record_id", "read_id", "library_id", "rid", "cell_barcode", F.col("fragment_start_position").alias("start"), F.col("fragment_length").alias("length"), "mapq", "num_dups", "mapped_at", "loaded_at").filter("record_id IS NOT NULL")
-    rows = with_cell(spread(rows), whitelist)
-    placed = F.col("library_id").isNotNull() & F.col("rid").isNotNull() & F.col("cell").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
+    base = records.select("record_id", "read_id", "library_id", "rid", "cell_barcode", F.col("fragment_start_position").alias("start"), F.col("fragment_length").alias("length"), "mapq", "num_dups", "mapped_at", "loaded_at", *([] if source is None else [source.alias("source_given")])).filter("record_id IS NOT NULL")
     key = ["h", "x", "y"]
-    source = source_of(F.col("cell_barcode"), F.col("cell_listed"), F.col("mapped_at"), F.col("loaded_at"))
-    nulls = sum(F.col(c).isNull().cast("int") for c in ("cell_barcode", "start", "length", "mapq", "num_dups"))
-    rows = rows.select(
-        "record_id", "read_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", (-nulls).alias("full"), F.col("cell_listed").cast("int").alias("listed"), source.alias("source"),
-        F.when(placed, F.xxhash64("library_id", "rid", "cell")).otherwise(F.xxhash64("record_id")).alias("h"),
-        F.when(placed, F.col("start")).otherwise(-1).cast("long").alias("x"),
-        F.when(placed, F.col("start") + F.col("length")).otherwise(F.col("record_id")).cast("long").alias("y"),
-        placed.alias("placed"),
-    )
-    rows = cut(rows)  # looked at four times
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows with their cells and points."""
+        rows = with_cell(rows, whitelist)
+        whole = F.col("library_id").isNotNull() & F.col("rid").isNotNull() & F.col("cell").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
+        return rows.select(
+            "*",
+            F.when(whole, F.xxhash64("library_id", "rid", "cell")).otherwise(F.xxhash64("record_id")).alias("h"),
+            F.when(whole, F.col("start")).otherwise(-1).cast("long").alias("x"),
+            F.when(whole, F.col("start") + F.col("length")).otherwise(F.col("record_id")).cast("long").alias("y"),
+            whole.alias("placed"),
+        )
+
+    rows = placed(spread(base))
     crowded = cut(crowded_points(rows.filter("placed").select(*key, F.col("record_id").alias("id")), REACH))
     points = crowded.select(*key, "first_id").distinct()  # those near a tile's end may come from two tiles
     # records of reads that were delivered more than once, each linked to its read's first record
-    reads = rows.filter("read_id IS NOT NULL").groupBy("read_id").agg(F.min("record_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("read_id", "lead")
-    again = cut(rows.select("read_id", "record_id", *key).join(reads, "read_id").select("record_id", "lead", *key))
+    reads = base.filter("read_id IS NOT NULL").groupBy("read_id").agg(F.min("record_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("read_id", "lead")
+    again = base.select("read_id", "record_id", "library_id", "rid", "cell_barcode", "start", "length").join(reads, "read_id")
+    again = cut(placed(again).select("record_id", "lead", *key))
     again = again.join(points, key, "left").withColumn("vertex", F.coalesce("first_id", "record_id"))
     edges = crowded.select(F.col("first_id").alias("a"), F.col("root").alias("b")).unionByName(again.select(F.col("vertex").alias("a"), F.col("lead").alias("b")))
     roots = components(edges)
     vertices = points.withColumnRenamed("first_id", "node").unionByName(again.filter("first_id IS NULL").select(*key, F.col("record_id").alias("node")))
     grouped = cut(vertices.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("g")))
-    wanted = rows.select(*key, "record_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", "full", "listed", "source")
+    nulls = sum(F.col(c).isNull().cast("int") for c in ("cell_barcode", "start", "length", "mapq", "num_dups"))
+    if source is None:
+        source = source_of(F.col("cell_barcode"), F.col("cell_listed"), F.col("mapped_at"), F.col("loaded_at"))
+    else:
+        source = F.when(F.col("source_given").between(0, MOST_SOURCES - 1), F.col("source_given").cast("int")).otherwise(F.raise_error(F.lit("a source is outside its range")).cast("int"))
+    wanted = rows.select(*key, "record_id", "cell", "start", "length", "mapq", "num_dups", "mapped_at", (-nulls).alias("full"), F.col("cell_listed").cast("int").alias("listed"), source.alias("source"))
     # the rank repeats columns, so it is put together behind the shuffle
     rank = F.struct("full", "listed", F.coalesce("mapq", F.lit(-1)).alias("mapq"), F.coalesce("num_dups", F.lit(-1)).alias("num_dups"), "mapped_at", (-F.col("record_id")).alias("id"))
     return wanted.join(grouped, key).select("g", "record_id", "cell", "start", "length", "mapq", "num_dups", "source", rank.alias("rank"))
@@ -85,7 +97,7 @@ def _votes(masks: list[int], accuracy: np.ndarray, dependent: np.ndarray) -> lis
     weight = np.log(FALSE_VALUES * accuracy / (1 - accuracy))
     out = []
     for mask in masks:
-        own = sorted((k for k in range(SOURCES) if mask >> k & 1), key=lambda k: -accuracy[k])
+        own = sorted((k for k in range(len(accuracy)) if mask >> k & 1), key=lambda k: -accuracy[k])
         out.append(float(sum(weight[k] * math.prod(1 - COPIED * dependent[k, j] for j in own[:i]) for i, k in enumerate(own))))
     return out
 
@@ -120,7 +132,8 @@ def estimate(values: DataFrame) -> dict[int, float]:
     accuracies and mutual dependence over all groups.
 
     What matters of a field of a group is which sets of sources claim its values, so equal
-    patterns are counted once. The driver sees sums per set of sources, at most 2^SOURCES rows.
+    patterns are counted once. The driver sees sums per set of sources that occurs together: with
+    the sources of source_of at most 2^18 rows.
     """
     sets = values.groupBy("g", "field", "sources").agg(F.count("*").alias("nv"))
     shape = sets.groupBy("g", "field").agg(F.sort_array(F.collect_list(F.struct("sources", "nv"))).alias("shape"))
@@ -131,10 +144,11 @@ def estimate(values: DataFrame) -> dict[int, float]:
     for r in patterns.groupBy("id", "objects").agg(F.bit_or("sources").alias("m")).groupBy("m").agg(F.sum("objects").alias("n")).collect():
         present[r["m"]] += r["n"]
     masks = sorted(r["sources"] for r in patterns.select("sources").distinct().collect())
-    bits = np.array([[m >> k & 1 for k in range(SOURCES)] for m in masks], float).reshape(-1, SOURCES)
-    whole = np.array([[m >> k & 1 for k in range(SOURCES)] for m in present], float).reshape(-1, SOURCES)
+    n = max((m.bit_length() for m in present), default=1)
+    bits = np.array([[m >> k & 1 for k in range(n)] for m in masks], float).reshape(-1, n)
+    whole = np.array([[m >> k & 1 for k in range(n)] for m in present], float).reshape(-1, n)
     both = (whole * np.array(list(present.values()), float).reshape(-1, 1)).T @ whole
-    accuracy, dependent = np.full(SOURCES, 0.8), np.zeros((SOURCES, SOURCES))
+    accuracy, dependent = np.full(n, 0.8), np.zeros((n, n))
     for turn in range(ROUNDS):
         votes = spark.createDataFrame(list(zip(masks, _votes(masks, accuracy, dependent))), "sources long, vote double")
         scored = patterns.join(F.broadcast(votes), "sources").withColumn("e", F.exp("vote"))

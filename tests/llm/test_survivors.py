@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from oracle import same
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import components, survivors
 from strandloom.llm.queries import QUERIES, SQL
 
@@ -114,8 +116,8 @@ def test_fused_values_follow_accurate_independent_sources(spark):
 
 
 def test_copiers_are_found():
-    a = np.full(survivors.SOURCES, 0.8)
-    same, false, both = (np.zeros((survivors.SOURCES,) * 2) for _ in range(3))
+    a = np.full(18, 0.8)
+    same, false, both = (np.zeros((18, 18)) for _ in range(3))
     both[:] = 100
     same[0, 1] = same[1, 0] = 64  # as independent ones would agree
     same[2, 3] = same[3, 2] = 95
@@ -124,6 +126,19 @@ def test_copiers_are_found():
     assert d[2, 3] > 0.99 and d[0, 1] < 0.01 and d[0, 0] == 0
 
 
+def test_sources_may_be_named(spark):
+    import datetime
+
+    day = datetime.datetime(2025, 1, 1)
+    rows = [(i, 7, "L", 0, WHITE[0], 100, 60, 10 + i, 1, day, day, "x", "x", 1, "x", "x") for i in (1, 2, 3)]
+    df, white = spark.createDataFrame(rows, KIND), spark.createDataFrame([(w,) for w in WHITE], "barcode string")
+    members = survivors.duplicate_members(df, white, source=F.col("record_id") + 58)
+    assert sorted(r["source"] for r in members.collect()) == [59, 60, 61]
+    assert survivors.survivors(members).first()["n_records"] == 3
+    with pytest.raises(Exception, match="outside"):
+        survivors.duplicate_members(df, white, source=F.col("record_id") + 60).collect()
+
+
 def test_lone_records_beside_a_tile_end_keep_their_group(spark):
     """The first of each group is alone in its tile, with and without company behind it."""
     import datetime
