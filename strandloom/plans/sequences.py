@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import mapq, sequence
 from strandloom.functions.cells import normal_barcode
-from strandloom.operators import align, lines, minimizers, pairing, seeds
+from strandloom.operators import align, lines, minimizers, overlap, pairing, seeds
 from strandloom.operators.adapters import trim_pairs
 from strandloom.params import EffectiveRange, IndexParams, MapParams
 from strandloom.plans import pipeline
@@ -239,11 +239,13 @@ _HITS = """hits AS (SELECT r.read_id, m.rid, r.strand = m.strand AS plus, (CASE
   FROM r_minimizers r JOIN minimizers m ON r.hash = m.hash JOIN freqs f ON r.hash = f.hash)"""
 
 
-@query(_read_sql(f"{_INDEX}, {_HITS}", f"SELECT read_id, rid, plus, pos, count(*) AS n FROM hits WHERE freq < {PARAMS.max_seed_frequencies[0]} GROUP BY ALL"))
+@query(_read_sql(f"{_INDEX}, {_HITS}", f"SELECT read_id, plus, count(*) AS n_hits, count(DISTINCT rid * 4294967296 + pos) AS n_places, CAST(sum((rid * 7919 + pos) % 1000003) AS BIGINT) AS fingerprint FROM hits WHERE freq < {PARAMS.max_seed_frequencies[0]} GROUP BY ALL"))
 def seed_hits(spark, sf_dir):
-    """K5: candidate positions of the reads' seeds."""
+    """K5: candidate positions of the reads' seeds, summed up per read and strand."""
     _, index = _index(spark, sf_dir)
-    return seeds.seed_hits(_read_minimizers(spark, sf_dir), index, PARAMS.max_seed_frequencies[0], IP.kmer_size).groupBy("read_id", "rid", "plus", "pos").agg(F.count("*").alias("n"))
+    return seeds.seed_hits(_read_minimizers(spark, sf_dir), index, PARAMS.max_seed_frequencies[0], IP.kmer_size).groupBy("read_id", "plus", "rid", "pos").agg(F.count("*").alias("n")).groupBy("read_id", "plus").agg(
+        F.sum("n").alias("n_hits"), F.count("*").alias("n_places"), F.sum((F.col("rid").cast("long") * 7919 + F.col("pos")) % 1_000_003 * F.col("n")).alias("fingerprint")
+    )
 
 
 @query(_read_sql(f"{_INDEX}, often AS (SELECT r.read_id, r.pos, r.pos - lag(r.pos) OVER (PARTITION BY r.read_id ORDER BY r.pos) AS step FROM r_minimizers r JOIN freqs f ON r.hash = f.hash WHERE f.freq >= {PARAMS.max_seed_frequencies[0]})",
@@ -268,17 +270,49 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return refs, index, seeds.read_candidates(_read_minimizers(spark, sf_dir), index, PARAMS.max_seed_frequencies, IP, PARAMS.error_threshold, PARAMS.min_seeds, 1)
 
 
-@query()
+_FOLD = """list_reduce(list_prepend({'p': -1, 'size': 0, 'best': 0, 'most': 0, 'here': -1, 'same': 0, 'out': []::STRUCT(p BIGINT, n BIGINT)[]}::STRUCT(p BIGINT, size BIGINT, best BIGINT, most BIGINT, here BIGINT, same BIGINT, "out" STRUCT(p BIGINT, n BIGINT)[]), steps), lambda a, x: {
+    'p': x.p,
+    'size': CASE WHEN a.size >= n_min AND x.p > a.best + 8 THEN 1 ELSE a.size + 1 END,
+    'best': CASE WHEN a.size >= n_min AND x.p > a.best + 8 THEN x.p WHEN (CASE WHEN x.p = a.here THEN a.same + 1 ELSE 1 END) > a.most THEN x.p ELSE a.best END,
+    'most': CASE WHEN a.size >= n_min AND x.p > a.best + 8 THEN 1 ELSE greatest(a.most, CASE WHEN x.p = a.here THEN a.same + 1 ELSE 1 END) END,
+    'here': x.p,
+    'same': CASE WHEN NOT (a.size >= n_min AND x.p > a.best + 8) AND x.p = a.here THEN a.same + 1 ELSE 1 END,
+    'out': CASE WHEN a.size >= n_min AND x.p > a.best + 8 AND a.size >= need THEN list_append(a.out, {'p': a.best, 'n': a.most}) ELSE a.out END})"""
+_LOW, _HIGH = PARAMS.max_seed_frequencies
+_CLUSTERS = f"""{_INDEX}, {_HITS},
+marked AS (SELECT r.read_id, r.pos, f.freq FROM r_minimizers r LEFT JOIN freqs f ON r.hash = f.hash),
+often AS (SELECT read_id, pos - lag(pos) OVER (PARTITION BY read_id ORDER BY pos) AS step FROM marked WHERE freq >= {_LOW}),
+per_read AS (SELECT read_id, count(*) AS n_min, count(*) FILTER (freq >= {_LOW}) AS n_rep, min(freq) AS rarest FROM marked GROUP BY read_id),
+rep AS (SELECT read_id, sum(CASE WHEN step < 23 THEN step ELSE 17 END) AS repetitive_length FROM often GROUP BY read_id),
+taken AS (SELECT h.* FROM hits h JOIN per_read p ON h.read_id = p.read_id WHERE h.freq < CASE WHEN p.rarest < {_LOW} THEN {_LOW} ELSE {_HIGH} END),
+sides AS (SELECT read_id, count(DISTINCT plus) AS n_sides FROM taken GROUP BY read_id),
+needs AS (SELECT p.read_id, n_min, coalesce(repetitive_length, 0) AS repetitive_length, CASE WHEN rarest >= {_LOW} AND rarest < {_HIGH} AND n_sides = 2 THEN 2 ELSE least(2, greatest(1, n_min - n_rep)) END AS need
+  FROM per_read p LEFT JOIN rep USING (read_id) LEFT JOIN sides USING (read_id)),
+spots AS (SELECT read_id, plus, rid, pos, count(*) AS n FROM taken GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 8 THEN 0 ELSE 1 END AS new FROM spots WINDOW w AS (PARTITION BY read_id, plus, rid ORDER BY pos)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY read_id, plus, rid ORDER BY pos) AS island FROM steps),
+islands AS (SELECT read_id, plus, rid, sum(n) AS size, first(pos ORDER BY n DESC, pos) AS best, max(n) AS top, list({{'pos': pos, 'n': n}} ORDER BY pos) AS held FROM numbered GROUP BY read_id, plus, rid, island),
+known AS (SELECT i.*, n_min, need FROM islands i JOIN needs USING (read_id)),
+long_ones AS (SELECT read_id, plus, rid, n_min, need, {_FOLD} AS f FROM (SELECT *, flatten(list_transform(held, lambda h: list_transform(generate_series(1, h.n), lambda i: {{'p': h.pos, 'size': 0, 'best': 0, 'most': 0, 'here': -1, 'same': 0, 'out': []::STRUCT(p BIGINT, n BIGINT)[]}}::STRUCT(p BIGINT, size BIGINT, best BIGINT, most BIGINT, here BIGINT, same BIGINT, "out" STRUCT(p BIGINT, n BIGINT)[])))) AS steps FROM known WHERE size > n_min)),
+found AS (
+  SELECT read_id, plus, rid, best AS pos, top AS n FROM known WHERE size <= n_min AND size >= need
+  UNION ALL SELECT read_id, plus, rid, c.p, c.n FROM (SELECT read_id, plus, rid, unnest(CASE WHEN f.size >= need THEN list_append(f.out, {{'p': f.best, 'n': f.most}}) ELSE f.out END) AS c FROM long_ones))"""
+
+
+@query(_read_sql(_CLUSTERS, """SELECT n.read_id, n_min AS n_minimizers, CAST(repetitive_length AS BIGINT) AS repetitive_length, CAST(need AS BIGINT) AS required, count(*) FILTER (plus) AS n_plus, count(*) FILTER (NOT plus) AS n_minus,
+  CAST(coalesce(sum(f.n), 0) AS BIGINT) AS support, CAST(coalesce(sum((rid * 7919 + pos) % 1000003 * f.n), 0) AS BIGINT) AS fingerprint FROM needs n LEFT JOIN found f USING (read_id) GROUP BY ALL"""))
 def hit_clusters(spark, sf_dir):
     """Candidates of every read on both strands, summed up per read."""
     rows = _candidates(spark, sf_dir)[2]
     each = F.concat("plus1", "minus1")
     weighed = F.aggregate(each, F.lit(0).cast("long"), lambda a, c: a + (F.floor(c["spot"] / seeds.WRAP) * 7919 + c["spot"] % seeds.WRAP) % 1_000_003 * c["n"])
     support = F.aggregate(each, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    return rows.select("read_id", F.col("n_minimizers1").alias("n_minimizers"), F.col("repetitive_length1").alias("repetitive_length"), F.col("required1").alias("required"), F.size("plus1").alias("n_plus"), F.size("minus1").alias("n_minus"), support.alias("support"), weighed.alias("fingerprint"))
+    return rows.select("read_id", *(F.col(f"{c}1").cast("long").alias(c) for c in ("n_minimizers", "repetitive_length", "required")), *(F.size(f"{c}1").cast("long").alias(f"n_{c}") for c in ("plus", "minus")), support.alias("support"), weighed.alias("fingerprint"))
 
 
-@query()
+@query(_read_sql("""gapped AS (SELECT read_id, pos, hash, strand, coalesce(pos - lag(pos) OVER w, 0) AS before, coalesce(lead(pos) OVER w - pos, 0) AS behind FROM r_minimizers WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+texts AS (SELECT read_id, string_agg(hash || ':' || strand || ':' || before, ',' ORDER BY pos) AS forward, string_agg(hash || ':' || (1 - strand) || ':' || behind, ',' ORDER BY pos DESC) AS backward FROM gapped GROUP BY read_id)""",
+                 "SELECT least(forward, backward) AS signature, count(*) AS n_reads, min(read_id) AS first_read FROM texts GROUP BY ALL"))
 def cache_signatures(spark, sf_dir):
     """Reads that share a seed signature, so that their seeding need be done once."""
     return seeds.signatures(_read_minimizers(spark, sf_dir)).groupBy("signature").agg(F.count("*").alias("n_reads"), F.min("read_id").alias("first_read"))
@@ -290,6 +324,31 @@ def edit_distance(spark, sf_dir):
     return align.verify(reads(spark, sf_dir, windows=True), ["read_id"], BAND)
 
 
+_EDITED = f"""edited AS (
+  SELECT read_id, CASE true_pos % 5 WHEN 0 THEN seq WHEN 1 THEN substr(seq, 1, k) || substr(seq, k + 2) WHEN 2 THEN substr(seq, 1, k) || 'A' || substr(seq, k + 1)
+    WHEN 3 THEN substr(seq, 1, k) || translate(substr(seq, k + 1, 1), 'ACGT', 'CGTA') || substr(seq, k + 3) ELSE substr(seq, 1, k) || 'CG' || substr(seq, k + 1, 12) || substr(seq, k + 14) END AS seq, true_rid, true_pos
+  FROM (SELECT *, 10 + true_pos % 30 AS k FROM reads)),
+framed AS (SELECT e.read_id, e.seq, length(e.seq) AS n, substr(s.seq, true_pos + 1 - {BAND}, length(e.seq) + {2 * BAND}) AS frame FROM edited e JOIN seqs s ON e.true_rid = s.rid),
+tries AS (SELECT read_id, seq, frame, n, unnest(generate_series(0, {2 * BAND})) AS a FROM framed),
+spans AS (SELECT *, unnest(generate_series(-3, 3)) AS d FROM tries)"""
+
+
+@query(f"WITH {SEQS}, {READS}, {_EDITED} SELECT read_id, min(levenshtein(seq, substr(frame, (a + 1)::INT, (n + d)::INT)))::INT AS errors FROM spans WHERE a + n + d <= length(frame) GROUP BY read_id")
+def edit_distance_indels(spark, sf_dir):
+    """V1 to V3 with up to three inserted, deleted and changed bases, against every stretch of the window
+    that can differ by no more."""
+    k, seq = (F.col("true_pos") % 30 + 10).cast("int"), F.col("seq")
+    part = lambda a, n=None: F.substring(seq, a, F.lit(READ) if n is None else n)
+    made = (
+        F.when(F.col("true_pos") % 5 == 0, seq).when(F.col("true_pos") % 5 == 1, F.concat(part(F.lit(1), k), part(k + 2))).when(F.col("true_pos") % 5 == 2, F.concat(part(F.lit(1), k), F.lit("A"), part(k + 1)))
+        .when(F.col("true_pos") % 5 == 3, F.concat(part(F.lit(1), k), F.translate(part(k + 1, F.lit(1)), "ACGT", "CGTA"), part(k + 3))).otherwise(F.concat(part(F.lit(1), k), F.lit("CG"), part(k + 1, F.lit(12)), part(k + 14)))
+    )
+    refs = references(spark, sf_dir).select(F.col("rid").alias("true_rid"), F.col("seq").alias("ref"))
+    rows = reads(spark, sf_dir).withColumn("seq", made).join(refs, "true_rid")
+    window = F.substring("ref", (F.col("true_pos") + 1 - BAND).cast("int"), F.length("seq") + 2 * BAND)
+    return align.verify(rows.select("read_id", "seq", window.alias("window")), ["read_id"], BAND).select("read_id", "errors")
+
+
 @query()
 def draft_best(spark, sf_dir):
     """Least errors of every read with the counts behind its quality."""
@@ -300,7 +359,14 @@ def draft_best(spark, sf_dir):
     return pairing.best_single(drafts, PARAMS).select("read_id", F.col("errors").alias("errors_min"), "n_best", "errors_second", "n_second")
 
 
-@query()
+_PIECES = f"""pieces AS (SELECT rid::BIGINT * 1000000 + pos AS read_id, substr(seq, pos + 1, 40) AS piece FROM (SELECT rid, seq, unnest(generate_series(8, length(seq) - 120, 40)) AS pos FROM seqs WHERE length(seq) >= 140)),
+mates AS (SELECT read_id, piece || 'CTGTCTCTTATACACATCTC' AS a, translate(reverse(translate(reverse(piece), 'ACGT', 'TGCA') || 'CTGTCTCTTATACACATCTG'), 'ACGT', 'TGCA') AS b FROM pieces),
+tried AS (SELECT read_id, a, b, unnest(generate_series(0, 30)) AS x FROM mates),
+fits AS (SELECT read_id, x, substr(b, x + 1, 15) = substr(a, 1, 15) AS one, substr(b, x + 16, 15) = substr(a, 16, 15) AS two, hamming(substr(b, x + 1), substr(a, 1, 60 - x)) <= 1 AS near FROM tried),
+chosen AS (SELECT read_id, coalesce(min(x) FILTER (near AND one), min(x) FILTER (near AND two)) AS x FROM fits GROUP BY read_id)"""
+
+
+@query(f"WITH {SEQS}, {_PIECES} SELECT read_id, (CASE WHEN x IS NULL THEN 60 ELSE 60 - x END)::INT AS kept1, (CASE WHEN x IS NULL THEN 60 ELSE 60 - x END)::INT AS kept2 FROM chosen")
 def adapter_trim(spark, sf_dir):
     """Fragments shorter than their reads lose the adapter read behind them."""
     at = F.explode(F.sequence(F.lit(8), F.length("seq") - 120, F.lit(40)))
@@ -310,6 +376,74 @@ def adapter_trim(spark, sf_dir):
     return trim_pairs(made).select("read_id", F.length("seq1").alias("kept1"), F.length("seq2").alias("kept2"))
 
 
+def _sure_reads(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    """Reads of which every seed in the index has one place, where the read was taken from, and two at least."""
+    truth = reads(spark, sf_dir).select("read_id", "true_rid", "true_pos")
+    met = _read_minimizers(spark, sf_dir).select("read_id", "hash", "pos", "strand").join(index.select("hash", "rid", F.col("pos").alias("at"), F.col("strand").alias("turned"), "freq"), "hash").join(truth, "read_id")
+    own = (F.col("freq") == 1) & (F.col("rid") == F.col("true_rid")) & (F.col("strand") == F.col("turned")) & (F.col("at") - F.col("pos") == F.col("true_pos"))
+    return met.groupBy("read_id").agg(F.bool_and(own).alias("own"), F.count("*").alias("n")).filter("own AND n >= 2").select("read_id")
+
+
+_SURE = f"""{_INDEX}, {_HITS},
+sure AS (SELECT h.read_id, count(*) AS n_met FROM hits h JOIN reads t ON h.read_id = t.read_id GROUP BY h.read_id HAVING bool_and(freq = 1 AND rid = true_rid AND plus AND pos = true_pos) AND count(*) >= 2),
+every AS (SELECT read_id, count(*) AS n_min FROM r_minimizers GROUP BY read_id),
+placed AS (SELECT t.*, (true_pos % 3 = 0)::INT AS changed, CASE WHEN n_met = n_min THEN 0 ELSE (true_pos % 3 = 0)::INT END AS errors FROM reads t JOIN sure USING (read_id) JOIN every USING (read_id))"""
+
+
+@query(_read_sql(_SURE, "SELECT read_id, errors AS errors_min, 1 AS n_best, 9 AS errors_second, 0 AS n_second FROM placed"))
+def draft_best_sure(spark, sf_dir):
+    """V11 to V15 for reads whose one place follows from their seeds; a read all of whose seeds are met
+    there counts as free of errors without being looked at."""
+    _, index = _index(spark, sf_dir)
+    return draft_best(spark, sf_dir).join(_sure_reads(spark, sf_dir, index), "read_id", "left_semi")
+
+
+@query(_read_sql(_SURE, f"SELECT read_id, true_rid, true_pos, true_rid AS rid, true_pos AS fragment_start_position, {READ} AS fragment_length, 60 AS mapq, 1 AS direction, 1 AS is_unique, errors, 0 AS nth FROM placed"))
+def map_se_sure(spark, sf_dir):
+    """Single-end mapping of every read; given out are those whose one place follows from their seeds."""
+    refs, index = _index(spark, sf_dir)
+    return pipeline.map_single(reads(spark, sf_dir), index, refs, PARAMS, IP).join(_sure_reads(spark, sf_dir, index), "read_id", "left_semi")
+
+
+@query(f"WITH {SEQS}, {READS} SELECT count(*) AS n_reads, true AS mapped_0_99, true AS origin_found_0_95 FROM reads")
+def map_se_share(spark, sf_dir):
+    """Whether 0.99 of all reads map, and 0.95 of those with one best place to where they were taken from
+    (the others are reads of which an exact copy lies elsewhere, or nearer than the changed origin)."""
+    refs, index = _index(spark, sf_dir)
+    made = cut(reads(spark, sf_dir))
+    found = pipeline.map_single(made, index, refs, PARAMS, IP)
+    counts = found.agg(F.count("*").alias("n"), F.count_if(F.expr("is_unique = 1")).alias("one"), F.count_if(F.expr("is_unique = 1 AND rid = true_rid AND abs(fragment_start_position - true_pos) <= 8")).alias("there"))
+    return made.agg(F.count("*").alias("n_reads")).crossJoin(counts).select("n_reads", (F.col("n") >= 0.99 * F.col("n_reads")).alias("mapped_0_99"), (F.col("there") >= 0.95 * F.col("one")).alias("origin_found_0_95"))  # one row each
+
+
+_LONE = f"""freqs AS (SELECT hash, count(*) AS freq FROM minimizers GROUP BY hash),
+often AS (SELECT m.rid, m.pos FROM minimizers m JOIN freqs f ON m.hash = f.hash WHERE freq > 1),
+fragments AS (SELECT rid, pos, rid::BIGINT * 1000000 + pos AS read_id FROM (SELECT rid, unnest(generate_series(8, length(seq) - {FRAGMENT + 10}, {STRIDE})) AS pos FROM seqs WHERE length(seq) >= {FRAGMENT + 18})),
+spoilt AS (SELECT DISTINCT read_id FROM fragments f JOIN often o ON f.rid = o.rid AND ((o.pos >= f.pos + 16 AND o.pos < f.pos + {READ}) OR (o.pos >= f.pos + {FRAGMENT - READ} + 16 AND o.pos < f.pos + {FRAGMENT})))"""
+
+
+@query(f"WITH {MINIMIZERS}, {_LONE} SELECT read_id, rid AS true_rid, pos AS true_pos, rid, pos AS fragment_start_position, {FRAGMENT} AS fragment_length, 60 AS mapq, 1 AS direction, 1 AS is_unique, {READ} AS positive_alignment_length, {READ} AS negative_alignment_length, 0 AS nth FROM fragments WHERE read_id NOT IN (SELECT read_id FROM spoilt)")
+def map_pe_sure(spark, sf_dir):
+    """Paired-end mapping of every pair; given out are those whose stretches hold only minimizers that
+    occur once in the reference, so that their one place is where they were taken from."""
+    refs, index = _index(spark, sf_dir)
+    made = pairs(spark, sf_dir)
+    often = index.filter("freq > 1").select("rid", F.col("pos").alias("c"), (F.col("pos") + 1).alias("d"))
+    ends = F.explode(F.array(F.lit(0), F.lit(FRAGMENT - READ)))
+    spans = made.select("read_id", F.col("true_rid").alias("rid"), "true_pos", ends.alias("shift")).select("read_id", "rid", (F.col("read_id") * 2 + (F.col("shift") > 0).cast("long")).alias("span"), (F.col("true_pos") + F.col("shift") + 16).alias("a"), (F.col("true_pos") + F.col("shift") + READ).alias("b"))
+    lone = overlap.count_overlaps(spans, often, ["rid"], "span").groupBy("read_id").agg(F.sum("n_overlaps").alias("n")).filter("n = 0")
+    return pipeline.map_paired(made, index, refs, PARAMS, IP).join(lone, "read_id", "left_semi")
+
+
+@query(_read_sql(_SURE, f"""SELECT concat_ws(chr(9), 'r' || read_id, '0', 'd' || true_rid, true_pos + 1, '60', '{READ}M', '*', '0', '0', p.seq, '*', 'NM:i:' || changed,
+  'MD:Z:' || CASE WHEN changed = 0 THEN '{READ}' ELSE (true_pos % {READ}) || substr(s.seq, (true_pos + true_pos % {READ} + 1)::INT, 1) || ({READ - 1} - true_pos % {READ}) END) AS line FROM placed p JOIN seqs s ON p.true_rid = s.rid"""))
+def sam_rows_sure(spark, sf_dir):
+    """SAM lines of the reads whose one place follows from their seeds."""
+    refs, index = _index(spark, sf_dir)
+    found = pipeline.map_single(reads(spark, sf_dir).withColumn("bases", F.col("seq")), index, refs, PARAMS, IP).join(_sure_reads(spark, sf_dir, index), "read_id", "left_semi")
+    return lines.sam_lines(pipeline.sam_records(found.withColumn("seq", F.col("bases")), refs, PARAMS))
+
+
 @query()
 def map_se_end2end(spark, sf_dir):
     """Single-end mapping of every read."""
@@ -383,38 +517,50 @@ def mapq_pair(spark, sf_dir):
     return rows.withColumn("pe", pe).select("record_id", mapq.joined(c("m1"), c("m2"), c("pe"), c("is_unique") == 0).alias("mapq"))
 
 
-_DRAFTS = f"""drafts AS (SELECT record_id, rid, read_id % 3 AS errors, fragment_start_position AS last, direction, library_id FROM {PAIRED} WHERE fragment_start_position IS NOT NULL)"""
+#: Records that stand for one read's placements, and how far mates may lie apart.
+MADE, APART = 8, 2_000_000
+_MADE = f"""made AS (SELECT record_id, record_id // {MADE} AS read_id, rid, rid::BIGINT * 4294967296 + fragment_start_position AS spot, direction = 1 AS plus, record_id % 2 = 0 AS first, coalesce(mapq, 0) % 3 AS errors,
+  fragment_start_position AS start, fragment_start_position + 59 AS last, 1 + record_id % 5 AS n FROM {PAIRED} WHERE fragment_start_position IS NOT NULL)"""
 
 
-def _made_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, PAIRED).filter("fragment_start_position IS NOT NULL").select("record_id", "rid", (F.col("read_id") % 3).cast("int").alias("errors"), F.col("fragment_start_position").alias("last"), "direction", "library_id")
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as the placements of made-up reads: MADE records in a row are one read."""
+    at = F.col("fragment_start_position")
+    return table(spark, sf_dir, PAIRED).filter("fragment_start_position IS NOT NULL").select(
+        "record_id", F.floor(F.col("record_id") / MADE).alias("read_id"), "rid", (F.col("rid").cast("long") * F.lit(seeds.WRAP) + at).alias("spot"), (F.col("direction") == 1).alias("plus"), (F.col("record_id") % 2 == 0).alias("first"),
+        (F.coalesce("mapq", F.lit(0)) % 3).cast("int").alias("errors"), at.alias("start"), (at + 59).alias("last"), (F.col("record_id") % 5 + 1).cast("int").alias("n"),
+    )
 
 
-@query(f"""WITH {_DRAFTS} SELECT a.record_id FROM drafts a WHERE EXISTS (SELECT 1 FROM drafts b WHERE b.library_id = a.library_id AND b.rid = a.rid AND b.direction <> a.direction AND abs(b.last - a.last) <= 2000)""")
+@query(f"""WITH {_MADE}, sides AS (SELECT DISTINCT read_id, first, plus, spot FROM made),
+kept AS (SELECT a.read_id, a.first, a.plus, a.spot FROM sides a WHERE EXISTS (SELECT 1 FROM sides b WHERE b.read_id = a.read_id AND b.first <> a.first AND b.plus <> a.plus
+    AND CASE WHEN a.first THEN b.spot >= a.spot - {APART} AND b.spot < a.spot + {APART} ELSE a.spot >= b.spot - {APART} AND a.spot < b.spot + {APART} END)
+  UNION ALL SELECT read_id, first, plus, spot FROM sides WHERE read_id NOT IN (SELECT read_id FROM sides GROUP BY read_id HAVING count(DISTINCT first) = 2))
+SELECT read_id, count(*) FILTER (first AND plus) AS n_plus1, count(*) FILTER (first AND NOT plus) AS n_minus1, count(*) FILTER (NOT first AND plus) AS n_plus2, count(*) FILTER (NOT first AND NOT plus) AS n_minus2 FROM kept GROUP BY read_id""")
 def mate_filter(spark, sf_dir):
-    """K17, relational core: records with a partner on the other strand within a distance."""
-    from strandloom.operators.overlap import band_join
-
-    d = _made_drafts(spark, sf_dir)
-    a = d.select("record_id", "library_id", "rid", (1 - F.col("direction")).alias("other"), F.col("last").alias("x"))
-    b = d.select("library_id", "rid", F.col("direction").alias("other"), F.col("last").alias("y"))
-    return band_join(a, b, ["library_id", "rid", "other"], 2000).select("record_id").distinct()
-
-
-@query(f"""WITH {_DRAFTS}, joined AS (SELECT a.record_id, a.errors + b.errors AS total FROM drafts a JOIN drafts b ON b.library_id = a.library_id AND b.rid = a.rid AND a.direction = 1 AND b.direction = 0 AND abs(b.last - a.last) <= 2000),
-least_of AS (SELECT record_id, min(total) AS sum_errors FROM joined GROUP BY record_id)
-SELECT l.record_id, sum_errors::INT AS sum_errors, count(*) FILTER (j.total = l.sum_errors) AS sum_best, min(j.total) FILTER (j.total > l.sum_errors)::INT AS sum_second FROM least_of l JOIN joined j ON l.record_id = j.record_id GROUP BY ALL""")
+    """Candidates with a partner, of reads made of records; their support is below that of candidates
+    kept alone. Reads left without any have no row."""
+    side = lambda first, plus: F.transform(F.array_sort(F.collect_set(F.when((F.col("first") == first) & (F.col("plus") == plus), F.col("spot")))), lambda x: F.struct(x.alias("spot"), F.lit(1).alias("n")))
+    rows = _made(spark, sf_dir).groupBy("read_id").agg(side(True, True).alias("plus1"), side(True, False).alias("minus1"), side(False, True).alias("plus2"), side(False, False).alias("minus2"))
+    numbers = {f"{c}{m}": F.lit(1) for m in (1, 2) for c in ("n_minimizers", "repetitive_length")}
+    kept = pipeline._paired_candidates(rows.withColumns({**numbers, "aggressive": F.lit(False)}), PARAMS.but(max_insert_size=APART))
+    sizes = kept.select("read_id", *(F.size(f"{s}{m}").cast("long").alias(f"n_{s}{m}") for m in (1, 2) for s in ("plus", "minus")))
+    return sizes.filter("n_plus1 + n_minus1 + n_plus2 + n_minus2 > 0")
+
+
+@query(f"""WITH {_MADE}, settled AS (SELECT read_id, first, plus, rid, last, min(errors) AS errors FROM made GROUP BY ALL),
+joined AS (SELECT a.read_id, a.errors + b.errors AS total FROM settled a JOIN settled b ON a.read_id = b.read_id AND a.first AND NOT b.first AND a.rid = b.rid AND a.plus <> b.plus
+  AND CASE WHEN a.plus THEN b.last BETWEEN a.last - 60 + 30 AND a.last + {APART} - 60 ELSE b.last BETWEEN a.last - {APART} + 60 AND a.last + 60 - 30 END),
+least_of AS (SELECT read_id, min(total) AS low FROM joined GROUP BY read_id),
+next_of AS (SELECT j.read_id, min(total) AS second FROM joined j JOIN least_of USING (read_id) WHERE total > low GROUP BY j.read_id)
+SELECT j.read_id, low::INT AS sum_errors, (count(*) FILTER (total = low))::INT AS sum_best, coalesce(second, 17)::INT AS sum_second, (count(*) FILTER (total = second))::INT AS sum_rivals
+FROM joined j JOIN least_of USING (read_id) LEFT JOIN next_of n ON j.read_id = n.read_id GROUP BY j.read_id, low, second""")
 def best_pairs(spark, sf_dir):
-    """J1, relational core: least sum of errors over partners, its count, and the next sum."""
-    from strandloom.operators.overlap import band_join
-
-    d = _made_drafts(spark, sf_dir)
-    a = d.filter("direction = 1").select("record_id", "library_id", "rid", F.col("errors").alias("e1"), F.col("last").alias("x"))
-    b = d.filter("direction = 0").select("library_id", "rid", F.col("errors").alias("e2"), F.col("last").alias("y"))
-    joined = band_join(a, b, ["library_id", "rid"], 2000).withColumn("total", F.col("e1") + F.col("e2"))
-    counted = joined.groupBy("record_id", "total").agg(F.count("*").alias("n"))
-    by = counted.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("total", "n"))).alias("t"))
-    return by.select("record_id", F.get("t", 0)["total"].alias("sum_errors"), F.get("t", 0)["n"].alias("sum_best"), F.get("t", 1)["total"].alias("sum_second"))
+    """Least sum of errors over mates that fit one fragment, its count, the next sum and its count, of reads
+    made of records."""
+    draft = F.struct(F.when(F.col("first"), 1).otherwise(2).alias("mate"), "plus", "rid", "errors", "start", "last")
+    rows = _made(spark, sf_dir).groupBy("read_id").agg(F.collect_list(draft).alias("drafts")).withColumns({"length1": F.lit(60), "length2": F.lit(60)})
+    return pairing.best_pairs(rows, PARAMS.but(max_insert_size=APART)).select("read_id", "sum_errors", "sum_best", "sum_second", "sum_rivals")
 
 
 @query(f"""WITH placed_at AS (SELECT record_id, library_id, rid, row_number() OVER (PARTITION BY library_id, rid ORDER BY record_id) - 1 AS place FROM {PAIRED}),
