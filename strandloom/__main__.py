@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         run.add_argument(f"--{name}", required=True)
     for name in ("read2", "barcode", "whitelist", "translation", "order", "summary-out", "preset", "read-format", "frip-coefficients", "max-seed-frequencies", "gap-open", "gap-extend"):
         run.add_argument(f"--{name}")
+    run.add_argument("--split-bytes", type=int, default=0)
     run.add_argument("--output-format", choices=FORMATS)
     level = run.add_mutually_exclusive_group()
     level.add_argument("--duplicates-at-bulk-level", action="store_true", default=None)
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
         workflow.index_files(spark, args.reference, args.out, index_params(args))
     else:
         files = {n: getattr(args, n) for n in ("reference", "index", "out", "read1", "read2", "barcode", "whitelist", "translation", "order", "summary_out")}
-        workflow.map_files(spark, **files, params=map_params(args))
+        workflow.map_files(spark, **files, params=map_params(args), split_bytes=args.split_bytes)
 
 
 if __name__ == "__main__":

@@ -21,9 +21,9 @@ def index_files(spark: SparkSession, reference: str, out: str, params: IndexPara
     tables.write_index(build_index(cut(refs), params), out, params)
 
 
-def _reads(spark: SparkSession, read1: str, read2: str | None, barcode: str | None, params: MapParams) -> DataFrame:
+def _reads(spark: SparkSession, read1: str, read2: str | None, barcode: str | None, params: MapParams, split_bytes: int = 0) -> DataFrame:
     """``read_id, read_name, seq (or seq1, seq2), qual..., barcode, barcode_qual`` under the read format."""
-    load = lambda p: fastx.read_fastx(spark, p) if p else None
+    load = lambda p: fastx.read_fastx(spark, p, split_bytes) if p else None
     form = parse_read_format(params.read_format)
     rows = fastx.zip_reads(load(read1), load(read2), load(barcode)).withColumnRenamed("name", "read_name")
     changed = {}
@@ -67,11 +67,12 @@ def _summary(rows: DataFrame, mapped: DataFrame, final: DataFrame, found: DataFr
 
 def map_files(
     spark: SparkSession, reference: str, index: str, out: str, read1: str, read2: str | None = None, barcode: str | None = None, whitelist: str | None = None,
-    translation: str | None = None, order: str | None = None, summary_out: str | None = None, params: MapParams = MapParams(),
+    translation: str | None = None, order: str | None = None, summary_out: str | None = None, params: MapParams = MapParams(), split_bytes: int = 0,
 ) -> None:
     """Maps reads and writes one of the text formats below ``out``, and the summary if asked.
 
     Paths may be comma-separated lists and patterns; file k of each list belongs together.
+    With ``split_bytes``, plain files of four lines a record are read by several tasks each.
     ``order`` lists sequence names in the order wanted, by which contacts are also turned.
     """
     if params.output_format == "pairs" and read2 is None:
@@ -80,7 +81,7 @@ def map_files(
     refs = names.select("rid", "seq")
     ranks = lines.reference_ranks(names.drop("seq"), tables.read_order(spark, order) if order else []).select("rid", "ref_name", "new_rid", F.col("length").alias("ref_length"))
     held, ip = tables.read_index(spark, index)
-    rows = _reads(spark, read1, read2, barcode, params).withColumn("cell", F.lit(None).cast("string"))
+    rows = _reads(spark, read1, read2, barcode, params, split_bytes).withColumn("cell", F.lit(None).cast("string"))
     known = None
     if barcode and whitelist:
         rows, known = _celled(rows, tables.read_whitelist(spark, whitelist), params)

@@ -182,6 +182,26 @@ def test_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "m/matrix")).collect()] == ["%%MatrixMarket matrix coordinate integer general", "3 2 2", "2 1 5", "1 2 2"]
 
 
+@pytest.mark.parametrize("kind", ["fastq", "fasta"])
+def test_a_file_read_in_ranges_gives_the_rows_of_one_task(spark, tmp_path, kind):
+    lines = []
+    for i in range(300):
+        seq = dna(RNG.randrange(1, 60))
+        if kind == "fastq":
+            qual = "".join(RNG.choice("@+>I") for _ in seq)
+            lines += [f"@r{i} c{i}", seq, "+" if i % 2 else f"+r{i}", qual]
+        else:
+            lines += [f">r{i}", *(seq[k : k + 20] for k in range(0, len(seq), 20))]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n" * (kind == "fastq"))
+    (tmp_path / "b.txt").write_text("\n".join(lines[:4] if kind == "fastq" else lines[:2]))
+    both = f"{tmp_path}/a.txt,{tmp_path}/b.txt"
+    want = fastx.read_fastx(spark, both).orderBy("read_id").collect()
+    for size in (400, 1500, 10**6):
+        got = fastx.read_fastx(spark, both, size)
+        assert got.orderBy("read_id").collect() == want, size
+    assert len(want) == 301 and fastx.read_fastx(spark, both, 1000).rdd.getNumPartitions() > 5
+
+
 def test_index_is_read_back(spark, genome, tmp_path):
     _, _, index = genome
     tables.write_index(index, str(tmp_path / "i"), IndexParams())
