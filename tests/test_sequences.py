@@ -1,6 +1,10 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,3 +364,24 @@ def test_reads_leave_no_base_between_them(spark, small):
     steps = found.groupby("true_rid").true_pos.diff().dropna()
     assert len(steps) > 1000 and steps.max() <= sequences.READ
     assert abs((found.true_pos % 3 == 0).mean() - 1 / 3) < 0.02 and found.true_pos.mod(sequences.READ).nunique() == sequences.READ
+
+
+def test_a_worker_that_has_loaded_nothing_else_verifies_reads():
+    """A new worker gets its batches as a stream, so that nothing loads parts of pyarrow on the way."""
+    ref = "".join(random.Random(1).choices("ACGT", k=76))
+    sent = pa.BufferOutputStream()
+    batch = pa.record_batch({"seq": [ref[8:68], ref[8:30] + ref[31:69], None, ref[8:68]], "window": [ref, ref, ref, ref[:70]]})
+    with pa.ipc.new_stream(sent, batch.schema) as stream:
+        stream.write_batch(batch)
+    code = """
+import sys
+import pyarrow as pa
+from strandloom.operators import align
+for t in align.held(pa.ipc.open_stream(sys.stdin.buffer), 0):
+    good, errors, _, _ = align.verified(align.one(t.column(0)), align.one(t.column(1)), 8)
+    print(good.tolist(), errors.tolist())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], input=sent.getvalue().to_pybytes(), capture_output=True, cwd=root, timeout=120)
+    assert done.returncode == 0, done.stderr.decode()
+    assert done.stdout.decode().strip() == "[0, 1] [0, 1]"
