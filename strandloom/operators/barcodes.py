@@ -76,8 +76,11 @@ def correct(observed: DataFrame, whitelist: DataFrame, counts: DataFrame, length
         q = F.aggregate(changed, F.lit(0), lambda s, i: s + phred(i))
         weighed = pairs.withColumn("__w", F.pow(F.lit(10.0), -q / 10.0) * F.coalesce("abundance", F.lit(0)))
         best = weighed.groupBy("__seen", "__q").agg(F.max(F.struct("__w")).alias("__top"), F.sum("__w").alias("__sum"), F.count("*").alias("__k"), F.min(F.struct((-F.col("__w")).alias("w"), "barcode")).alias("__best"))
-        found = best.filter((F.col("__k") == 1) | (F.col("__top.__w") > probability * F.col("__sum"))).select("__seen", "__q", F.col("__best.barcode").alias("__fixed"))
-    joined = rows.join(found, (F.col(barcode) == F.col("__seen")) & (F.coalesce(quality, F.lit("")) == F.col("__q")), "left") if found is not None else rows.withColumn("__fixed", F.lit(None).cast("string"))
+        # one expression as key: from "quality = __q" Spark infers a filter on __q, and if quality is made by a
+        # lambda over another column, that filter asks for a column that is not there
+        one = lambda b, q: F.concat(F.length(b), F.lit(":"), b, q)
+        found = best.filter((F.col("__k") == 1) | (F.col("__top.__w") > probability * F.col("__sum"))).select(one("__seen", "__q").alias("__asked"), F.col("__best.barcode").alias("__fixed"))
+    joined = rows.join(found, one(barcode, F.coalesce(quality, F.lit(""))) == F.col("__asked"), "left") if found is not None else rows.withColumn("__fixed", F.lit(None).cast("string"))
     return joined.select(
         *[F.col(f"`{c}`") for c in observed.columns],
         F.when(exact, F.col(barcode)).otherwise(F.col("__fixed")).alias("corrected"),

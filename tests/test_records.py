@@ -1,6 +1,9 @@
+import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
 from strandloom.operators import barcodes, overlap, summary
+from strandloom.plans import records
 
 
 def test_correction_thresholds(spark):
@@ -15,6 +18,18 @@ def test_correction_thresholds(spark):
     assert barcodes.correct(df.limit(0), white, counts, 4).count() == 0
 
 
+@pytest.mark.parametrize("errors", (1, 2))
+def test_correction_where_small_tables_are_not_broadcast(spark, small, tmp_path, errors):
+    """The registered queries make their quality by a lambda over another column."""
+    name = f"barcode_correct_{errors}"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        records.QUERIES[name](spark, small).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    same(spark.read.parquet(f"{tmp_path}/out"), records.SQL[name], small)
+
+
 def test_overlap_join_gives_each_pair_once(spark):
     left = spark.createDataFrame([(1, 0, 10, 20000), (2, 0, 5, 5), (3, 0, 30000, 30001), (4, None, 0, 9)], "i int, rid int, a long, b long")
     right = spark.createDataFrame([(7, 0, 15, 16), (8, 0, 0, 40000), (9, 0, 20000, 20001), (6, 0, None, 5)], "j int, rid int, c long, d long")
