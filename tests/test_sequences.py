@@ -385,3 +385,17 @@ for t in align.held(pa.ipc.open_stream(sys.stdin.buffer), 0):
     done = subprocess.run([sys.executable, "-c", code], input=sent.getvalue().to_pybytes(), capture_output=True, cwd=root, timeout=120)
     assert done.returncode == 0, done.stderr.decode()
     assert done.stdout.decode().strip() == "[0, 1] [0, 1]"
+
+
+@pytest.mark.parametrize("module, call", (("seeds", "seeds.flat_candidates(b.column(0))[0]"), ("pairing", "pairing.drafts_of(b.column(1))[0]")))
+def test_a_worker_that_has_loaded_nothing_else_reads_lists(module, call):
+    drafts = [[{"mate": 1, "plus": True, "rid": 0, "errors": 0, "start": 1, "last": 2}] * n for n in (2, 0, 1)]
+    batch = pa.record_batch({"candidates": [[{"spot": 5, "n": 1}] * n for n in (2, 0, 1)], "drafts": drafts})
+    sent = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sent, batch.schema) as stream:
+        stream.write_batch(batch)
+    code = f"import sys\nimport pyarrow as pa\nfrom strandloom.operators import {module}\nfor b in pa.ipc.open_stream(sys.stdin.buffer):\n    print({call}.tolist())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], input=sent.getvalue().to_pybytes(), capture_output=True, cwd=root, timeout=120)
+    assert done.returncode == 0, done.stderr.decode()
+    assert done.stdout.decode().strip() == "[0, 0, 2]"
